@@ -14,6 +14,7 @@ itself, keywords and longer operators have a character of their own
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from itertools import accumulate
 
 # The keywords and operators of the two languages.
@@ -81,26 +82,25 @@ class _Kinds(dict):
         self.rust = rust
         self.update(self.fixed)
 
-    def __missing__(self, token: str) -> str:
-        length, whole = len(token), token
-        token = token.strip() or " "
-        first = token[0]
+    def __missing__(self, whole: str) -> str:
+        token = whole.strip() or " "
+        first, last = token[0], token[-1]
         if token in self.fixed:
             kind = self.fixed[token]
+        elif (first.isalpha() or first == "_") and last != '"' and last != "'" and '"' not in token:
+            kind = "i"
+        elif first.isdigit() or first == "." and len(token) > 1:
+            kind = "n"
         elif first.isspace() or first == "#" or token.startswith(("//", "/*")):
             kind = ""
-        elif token[-1] == '"' and len(token) > 1 or '"' in token and len(token) > 1:
+        elif '"' in token and len(token) > 1 and first != "'":
             kind = "s"
-        elif first == "'" or "'" in token and not first.isdigit() and first != ".":
-            kind = "l" if self.rust and token[-1] != "'" else "c" if len(token) > 2 else "E"
-        elif first.isdigit() or first == "." and len(token) > 1:
-            kind = "n"
-        elif first == "_" or first.isalpha():
-            kind = "i"
+        elif first == "'" or last == "'":
+            kind = "l" if self.rust and last != "'" else "c" if len(token) > 2 else "E"
         else:
             kind = "E"
-        if length < 80:
-            if len(self) > 200_000:
+        if len(whole) < 80:
+            if len(self) > 400_000:
                 self.clear()
                 self.update(self.fixed)
             self[whole] = kind
@@ -110,6 +110,21 @@ class _Kinds(dict):
 _KINDS = {True: _Kinds(RUST, True), False: _Kinds(CPP, False)}
 
 
+class Rows:
+    """``rows[k]``: the row on which part k begins."""
+
+    def __init__(self, parts: list[str]) -> None:
+        self.at = [0, *accumulate(map(len, parts))]
+        text = "".join(parts)
+        self.ends, found = [], text.find("\n")
+        while found >= 0:
+            self.ends.append(found)
+            found = text.find("\n", found + 1)
+
+    def __getitem__(self, part: int) -> int:
+        return bisect_left(self.ends, self.at[part])
+
+
 class Tokens:
     """The tokens of one text. ``parts`` joined give the text; ``kinds`` has one character a token, without trivia."""
 
@@ -123,14 +138,14 @@ class Tokens:
         """For each token its index in parts."""
         return [k for k, c in enumerate(self.codes) if c]
 
-    def rows(self) -> list[int]:
+    def rows(self) -> Rows:
         """For each part the 0-based row on which it begins."""
-        return [0, *accumulate(p.count("\n") for p in self.parts)]
+        return Rows(self.parts)
 
 
 def _cut_rust(text: str) -> list[str]:
     parts = _RUST.findall(text)
-    if not any(p.startswith("/*") and p.rstrip() == "/*" for p in parts):
+    if "/*" not in text or not any(p.rstrip() == "/*" for p in parts if p[:2] == "/*"):
         return parts
     parts, at = [], 0  # a comment within a comment: cut again, piece by piece
     while at < len(text):
