@@ -173,7 +173,7 @@ def _directories(path: Column) -> Column:
 def label_files(files: DataFrame, sources: DataFrame, key: str = "file_id", repo: str = "repo", path: str = "file_path", text: str = "file_text") -> DataFrame:
     """One row a file: ``key, repo, path``, the evidence, ``declared``, ``located``, ``by_hand`` and the first ``reason``."""
     seen = text_evidence(files, key, repo, path, text)
-    places = with_owner(files.select(F.col(key).alias("__key"), F.col(repo).alias("repo"), F.col(path).alias("path")), sources).dropDuplicates(["__key"])
+    places = with_owner(files.select(F.col(key).alias("__key"), F.col(repo).alias("repo"), F.col(path).alias("path")), sources, "repo", "path").dropDuplicates(["__key"])
     mined = mined_names(places.where(F.col("owner_dep").isNotNull()).select("repo", "path", F.col("owner_dep").alias("foreign")))
     conventional = F.array(*map(F.lit, [*FOREIGN_NAMES, *GENERATED_NAMES]))
     names = places.select("__key", F.explode(_directories(F.col("path"))).alias("name"))
