@@ -306,7 +306,7 @@ class CppParser(Parser):
                     if k[at] == ":":
                         at = self.type_id(at + 1)
                     if k[at] == "{":
-                        return at, True, ("enum", None, self.enumerators(at + 1)) if False else (WHOLE, None, self.declarators("members", at, self.enumerators(at + 1), False)[2])
+                        return at, True, (WHOLE, None, self.declarators("members", at, self.enumerators(at + 1), False)[2])
                     continue
                 if k[at] == "i" and k[at + 1] in ":{":
                     at += 1  # final
@@ -702,7 +702,7 @@ class CppParser(Parser):
                     return at
             if power < least:
                 return at
-            if k[at + width] == DOTS or power < 3 and k[at + width] == ")" and False:
+            if k[at + width] == DOTS:
                 return at
             at = self.binary(self.unary(at + width), power + 1)
 
@@ -712,7 +712,7 @@ class CppParser(Parser):
             at += 1
             c = k[at]
         if c == "(":
-            if k[at + 1] in BUILTIN or k[at + 1] in ("i", SCOPE, CONST, STRUCT, TYPENAME, VOLATILE, "u"):
+            if k[at + 1] in BUILTIN or k[at + 1] in ("i", SCOPE, CONST, STRUCT, TYPENAME, VOLATILE):
                 end = self.attempt(self.unangled, self.type_id, at + 1)
                 if end and k[end] == ")" and (k[end + 1] in _AFTER_CAST or k[end - 1] in "*&" and k[end + 1] in UNARY or k[at + 1] in BUILTIN and k[end + 1] in UNARY):
                     cast = self.attempt(self.unary, end + 1)
