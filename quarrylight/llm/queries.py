@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import docpairs, handwritten, parsing
+from . import docpairs, handwritten, leakage, neardup, packing, parsing, similar, stuffing
 
 
 def table(spark: SparkSession, at: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{at}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, at: str) -> DataFrame:
+    near = similar.most_similar(table(spark, at, "chunks"), "chunk_id", "embedding", size=96, k=5, least=0.8)
+    return near.select(F.least("chunk_id", "neighbour").alias("chunk_a"), F.greatest("chunk_id", "neighbour").alias("chunk_b")).distinct()
+
+
+def p1_neighbours(spark: SparkSession, at: str) -> DataFrame:
+    return similar.most_similar(table(spark, at, "chunks"), "chunk_id", "embedding", size=96, k=5)
+
+
 def p2_found(spark: SparkSession, at: str) -> DataFrame:
     labelled = handwritten.label_files(table(spark, at, "source_files"), table(spark, at, "sources"))
     return labelled.where(~F.col("by_hand")).select("file_id").distinct()
@@ -44,7 +53,44 @@ def p4_pairs(spark: SparkSession, at: str) -> DataFrame:
     return docpairs.pair_functions(table(spark, at, "source_files")).dropDuplicates(["file_id", "line_no", "name"])
 
 
+def p5_found(spark: SparkSession, at: str) -> DataFrame:
+    pairs = neardup.NearDuplicates(table(spark, at, "chunks"), "chunk_id", "display_text", 3, 0.7).pairs()
+    return pairs.select(F.col("key_a").alias("chunk_a"), F.col("key_b").alias("chunk_b"))
+
+
+def p5_groups(spark: SparkSession, at: str) -> DataFrame:
+    groups = neardup.NearDuplicates(table(spark, at, "chunks"), "chunk_id", "display_text", 3, 0.7).groups()
+    return groups.select(F.col("key").alias("chunk_id"), F.col("group").alias("group_id"), "copies", "links")
+
+
+def p6_packed(spark: SparkSession, at: str) -> DataFrame:
+    return packing.pack(packing.token_counts(table(spark, at, "documents")), table(spark, at, "token_budgets"))
+
+
+def p7_found(spark: SparkSession, at: str) -> DataFrame:
+    return leakage.leaks(table(spark, at, "documents"), table(spark, at, "eval_items")).where(F.col("longest_run") >= 12).select("doc_id", "item_id")
+
+
+def p7_scores(spark: SparkSession, at: str) -> DataFrame:
+    found = leakage.leaks(table(spark, at, "documents"), table(spark, at, "eval_items"))
+    return found.select("doc_id", "item_id", F.round("score", 6).alias("score"), "longest_run")
+
+
+def p8_found(spark: SparkSession, at: str) -> DataFrame:
+    return stuffing.score_pages(table(spark, at, "documents")).where("stuffed").select("doc_id").distinct()
+
+
+def p8_by_source(spark: SparkSession, at: str) -> DataFrame:
+    documents = table(spark, at, "documents")
+    scored = stuffing.score_pages(documents).withColumnRenamed("doc_id", "id").join(documents.select(F.col("doc_id").alias("id"), "source"), "id")
+    return scored.groupBy("source").agg(F.count("*").alias("pages"), F.sum(F.col("stuffed").cast("bigint")).alias("stuffed_pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_reasons, p3_found, p3_errors, p3_rates, p4_found, p4_pairs)
+    f.__name__: f
+    for f in (
+        p1_found, p1_neighbours, p2_found, p2_reasons, p3_found, p3_errors, p3_rates, p4_found, p4_pairs,
+        p5_found, p5_groups, p6_packed, p7_found, p7_scores, p8_found, p8_by_source,
+    )
 }
 SQL: dict[str, str] = {}
