@@ -114,7 +114,7 @@ def leaf_bounds(vectors: DataFrame, size: int, trees: int, seed: int, leaf: int,
 
 
 def most_similar(
-    table: DataFrame, key: str, vector: str, size: int, k: int = 5, least: float = -1.0, trees: int = 10, leaf: int = 4096, bits: int = 12, seed: int = 11
+    table: DataFrame, key: str, vector: str, size: int, k: int = 5, least: float = -1.0, trees: int = 14, leaf: int = 4096, bits: int = 12, seed: int = 11
 ) -> DataFrame:
     """``key, neighbour, similarity, rank``: for every usable vector the k most similar others of at least ``least`` cosine."""
     vectors = table.select(F.col(vector).alias("v"))
