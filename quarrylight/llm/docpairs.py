@@ -5,7 +5,7 @@ above it is read from the same tokens.  In Rust documentation is an outer doc
 comment or a ``doc`` attribute, in C++ any comment that ends on the row above
 the function or its template head.  One pass of ``mapInPandas``, no shuffle.
 
-Cases: null and empty texts and files that do not parse give no row; a file
+Cases: rows with a null key, null and empty texts and files that do not parse give no row; a file
 delivered twice gives its rows twice (``distinct`` them on the key).
 """
 
@@ -169,4 +169,4 @@ def pair_functions(files: DataFrame, key: str = "file_id", path: str = "file_pat
 
     names = [key, "line_no", "language", "name", "signature", "description", *(["line_start", "line_end", "code"] if code else [])]
     schema = f"`{key}` {dict(files.dtypes)[key]}, line_no bigint, language string, name string, signature string, description string" + (", line_start bigint, line_end bigint, code string" if code else "")
-    return files.select(F.col(key).alias("k"), F.col(path).alias("p"), F.col(text).alias("t")).mapInPandas(run, schema)
+    return files.select(F.col(key).alias("k"), F.col(path).alias("p"), F.col(text).alias("t")).where(F.col("k").isNotNull()).mapInPandas(run, schema)

@@ -11,6 +11,7 @@ an error the parser goes on behind the next ``;`` or the block it stands before
 from __future__ import annotations
 
 import re
+import sys
 from typing import NamedTuple
 
 from ..functions.lexing import Tokens
@@ -18,7 +19,7 @@ from ..functions.lexing import Tokens
 END = "\0"
 _STOP = re.compile(r"[;{}\0]")
 _CLOSE = {"(": ")", "[": "]", "{": "}"}
-MEMO_KEYS, MEMO_LENGTH = 100_000, 300
+MEMO_KEYS, MEMO_LENGTH, DEPTH = 100_000, 300, 20_000
 
 
 class Wrong(Exception):
@@ -54,10 +55,17 @@ class Parser:
         self.functions: list[Function] = []
 
     def run(self) -> None:
-        at = self.unit(self.top, 0)
-        while at < self.n:
-            self.errors.append((at, "closing bracket without an opening one"))
-            at = self.unit(self.top, at + 1)
+        before = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(before, DEPTH))
+        try:
+            at = self.unit(self.top, 0)
+            while at < self.n:
+                self.errors.append((at, "closing bracket without an opening one"))
+                at = self.unit(self.top, at + 1)
+        except RecursionError:
+            self.errors.append((0, "brackets nested too deeply"))
+        finally:
+            sys.setrecursionlimit(before)
 
     def unit(self, context: str, at: int) -> int:
         """Statements up to a closing brace, whose place is returned, or the end."""

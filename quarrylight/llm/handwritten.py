@@ -15,7 +15,7 @@ Four kinds of evidence, strongest first:
 Texts are read in one pass (``text_evidence``) and never shuffled; only narrow
 rows are joined, by repository or directory name.
 
-Cases: null or empty texts are hand-written unless their location says
+Cases: rows with a null key are left out; null or empty texts are hand-written unless their location says
 otherwise; a null repo or path matches no declaration; repeated rows give
 repeated rows.
 """
@@ -115,7 +115,7 @@ def text_evidence(files: DataFrame, key: str = "file_id", repo: str = "repo", pa
             yield pd.DataFrame({key: b["k"], "repo": b["r"], "path": b["p"]} | {e: [bool(x[e]) for x in found] for e in _EVIDENCE})
 
     schema = f"`{key}` {dict(files.dtypes)[key]}, repo string, path string, " + ", ".join(f"{e} boolean" for e in _EVIDENCE)
-    return files.select(F.col(key).alias("k"), F.col(repo).alias("r"), F.col(path).alias("p"), F.col(text).alias("t")).mapInPandas(run, schema)
+    return files.select(F.col(key).alias("k"), F.col(repo).alias("r"), F.col(path).alias("p"), F.col(text).alias("t")).where(F.col("k").isNotNull()).mapInPandas(run, schema)
 
 
 def glob_pattern(glob: Column) -> Column:

@@ -4,7 +4,8 @@ Every file is parsed as the language of its extension (``rs`` is Rust, all else
 C++).  Where the work happens: one pass of ``mapInPandas`` over the files, no
 shuffle of text; the rates are an aggregate of its narrow result.
 
-Cases: a null text counts as empty; empty texts and texts of comments only are
+Cases: rows with a null key are left out; a null text counts as empty; brackets
+nested some thousand deep are an error of their own; empty texts and texts of comments only are
 valid.  A file that is delivered twice gives two equal rows here; ``rates``
 counts each file once.  Columns of the input that clash with the result's names
 are not read.
@@ -68,7 +69,7 @@ def check_files(files: DataFrame, key: str = "file_id", path: str = "file_path",
 
     kinds = dict(files.dtypes)
     schema = f"`{key}` {kinds[key]}, `{group}` {kinds[group]}, language string, valid boolean, n_errors int, first_line bigint, first_cause string, errors array<struct<line_no:bigint,cause:string>>"
-    return files.select(F.col(key).alias("k"), F.col(group).alias("g"), F.col(path).alias("p"), F.col(text).alias("t")).mapInPandas(run, schema)
+    return files.select(F.col(key).alias("k"), F.col(group).alias("g"), F.col(path).alias("p"), F.col(text).alias("t")).where(F.col("k").isNotNull()).mapInPandas(run, schema)
 
 
 def rates(checked: DataFrame, key: str = "file_id", group: str = "repo") -> DataFrame:

@@ -93,4 +93,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         p5_found, p5_groups, p6_packed, p7_found, p7_scores, p8_found, p8_by_source,
     )
 }
-SQL: dict[str, str] = {}
+_GRAMS = """g AS (SELECT id, list_distinct(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(list_slice(w, i, i + {n} - 1), ' '))) AS g FROM w WHERE len(w) >= {n})"""
+SQL: dict[str, str] = {
+    "p1_found": """WITH u AS (SELECT chunk_id, any_value(embedding)::DOUBLE[] AS e FROM chunks WHERE embedding IS NOT NULL AND len(embedding) = 96
+        AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x) OR x IS NULL)) = 0 AND list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) > 0 GROUP BY chunk_id),
+      s AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.e, b.e) AS c FROM u a JOIN u b ON a.chunk_id <> b.chunk_id),
+      n AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS place FROM s)
+      SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM n WHERE place <= 5 AND c >= 0.8""",
+    "p5_found": f"""WITH w AS (SELECT chunk_id AS id, regexp_extract_all(lower(any_value(display_text)), '[a-z0-9_]+') AS w FROM chunks GROUP BY chunk_id), {_GRAMS.format(n=3)},
+      x AS (SELECT id, len(g) AS n, unnest(g) AS gram FROM g), o AS (SELECT a.id AS a, b.id AS b, a.n AS na, b.n AS nb, count(*) AS common FROM x a JOIN x b ON a.gram = b.gram AND a.id < b.id GROUP BY ALL)
+      SELECT a AS chunk_a, b AS chunk_b FROM o WHERE common >= 0.7 * (na + nb - common) - 1e-9""",
+    "p7_found": f"""WITH w AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items), {_GRAMS.format(n=12)}, i AS (SELECT id AS item_id, unnest(g) AS gram FROM g),
+      d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), e AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(list_slice(w, k, k + 11), ' '))) AS gram FROM d WHERE len(w) >= 12)
+      SELECT DISTINCT e.doc_id, i.item_id FROM e JOIN i ON e.gram = i.gram""",
+}

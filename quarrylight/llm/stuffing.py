@@ -9,7 +9,7 @@ The page is flagged when more than half of its text is of these kinds.
 
 One pass of ``mapInPandas``; nothing is shuffled.
 
-Cases: null and empty texts are not flagged; fenced code, symbol indexes and
+Cases: rows with a null key are left out; null and empty texts are not flagged; fenced code, symbol indexes and
 links that a sentence describes count as prose; any length of text is read
 whole.
 """
@@ -127,4 +127,4 @@ def score_pages(documents: DataFrame, key: str = "doc_id", text: str = "text") -
             yield pd.DataFrame({key: b["k"], "spam_share": share, "stuffed": [s > SHARE for s in share]})
 
     schema = f"`{key}` {dict(documents.dtypes)[key]}, spam_share double, stuffed boolean"
-    return documents.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, schema)
+    return documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("k").isNotNull()).mapInPandas(run, schema)
