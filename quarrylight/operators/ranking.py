@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions import vectors
@@ -79,6 +80,7 @@ def search_many(
     product a batch and keep the first-stage window per query.
     """
     take = width(k)
+    arrow = to_arrow_type(queries.schema[query_key].dataType), to_arrow_type(table.schema[key].dataType)
     kinds = dict(table.dtypes)[key], dict(queries.dtypes)[query_key]
     columns = [F.col(query_key).alias("q"), vectors.doubles(F.col(query_vector)).alias("v"), (F.col(query_text) if query_text else F.lit(None)).cast("string").alias("t")]
     rows = queries.where(F.col(query_vector).isNotNull()).select(*columns).toLocalIterator()
@@ -111,7 +113,8 @@ def search_many(
                         value, name = value[near], name[near]
                     keep[i] = (value, name)
             if keep:
-                yield pa.RecordBatch.from_pydict({"q": [i for i, (s, _) in zip(ids, keep) for _ in s], "key": [n for _, names in keep for n in names], "raw": [float(x) for s, _ in keep for x in s]}, schema=None)
+                asked = pa.array([i for i, (s, _) in zip(ids, keep) for _ in s], arrow[0])
+                yield pa.RecordBatch.from_arrays([asked, pa.array([n for _, names in keep for n in names], arrow[1]), pa.array(np.concatenate([s for s, _ in keep]), pa.float64())], ["q", "key", "raw"])
 
         found = table.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), vectors.doubles(F.col(vector)).alias("v")).mapInArrow(run, f"q {kinds[1]}, key {kinds[0]}, raw double")
         parts.append(found)

@@ -181,7 +181,6 @@ class CodeIndex:
         fresh: list[DataFrame] = []
         gone: list[DataFrame] = []
         states: list[str] = []
-        moved = set(before) - set(roots)
         for root, sources in roots.items():
             if git.find_root(root) != Path(root):  # I7: a plain folder is read once
                 if not tables["files"].where(F.col("git_root") == root).limit(1).count():
@@ -208,7 +207,7 @@ class CodeIndex:
             touched = reindex.union(removed).distinct()
             gone.append(touched.select(self._key(root).alias("file_key")))
             fresh.append(self._owned(root, reindex, sources))
-        gone += [tables["files"].where(F.col("git_root") == r).select("file_key") for r in moved]
+        gone.append(tables["files"].where(~F.col("git_root").isin(list(roots))).select("file_key"))  # roots that no source names any more
         head, dirty = self._states(states)
         affected = cut(reduce(DataFrame.union, gone, schema.empty(self.spark, "file_key string")).distinct())
         owned = cut(reduce(DataFrame.unionByName, fresh)) if fresh else None
