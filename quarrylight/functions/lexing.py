@@ -175,6 +175,8 @@ def _cut_cpp(text: str) -> list[str]:
         parts = _CPP.findall(text)
     if parts and parts[0].startswith("\n"):
         parts[0] = parts[0][1:]
+        if not parts[0]:
+            del parts[0]
     return parts
 
 
