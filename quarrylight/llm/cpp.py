@@ -639,7 +639,7 @@ class CppParser(Parser):
             at += 1
             if k[at] == "<":
                 end = self.attempt(self.template_arguments, at)
-                if end and (type_ or k[end] in _AFTER_TEMPLATE or k[end] == "i" and k[end + 1] in ("(", ";", "=", "{", SCOPE)):
+                if end and (type_ or k[end] in _AFTER_TEMPLATE):
                     at = end
             if k[at] != SCOPE or k[at + 1] == "*":
                 return at
