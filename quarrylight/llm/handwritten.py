@@ -53,7 +53,7 @@ _FOREIGN = re.compile(
 )
 _SHAPE = re.compile(r'"(?:[^"\\]|\\.)*"|\'[^\'\n]{1,4}\'|[A-Za-z_]\w*|\d[\w.]*')
 _LIST = re.compile(r"(?:[-x]+,\s?){2,}")
-MINIFIED_LINE, MINIFIED_SHARE, MINIFIED_SPACE = 300, 0.5, 0.13
+MINIFIED_LINE, MINIFIED_SHARE, MINIFIED_SPACE = 300, 0.5, 0.14
 DATA_NUMBERS, DATA_STRINGS, DATA_TOKENS, STRING_TOKENS = 0.27, 0.75, 60, 10
 MOST_LAG, RECURRENCE, LEAST_LINES = 8, 0.7, 15
 
