@@ -51,19 +51,23 @@ def score(raw: Column, symbol: Column, text: Column, dependency: Column) -> Colu
     return raw + symbol_boost(symbol, text) + penalty(dependency)
 
 
-def nearest(table: DataFrame, query: Sequence[float], take: int, vector: str, ties: list[str]) -> DataFrame:
-    """The rows nearest to a query vector, with ``raw``."""
+def nearest(table: DataFrame, query: Sequence[float], take: int, vector: str, ties: list[str], distinct: str | None = None) -> DataFrame:
+    """The rows nearest to a query vector, with ``raw`` and without the vector, which is never shuffled.
+
+    ``distinct`` names a key of which only one row counts.
+    """
     v = F.col(vector)
     checked = F.when(F.size(v) == len(query), vectors.similarity(v, vectors.literal(query))).otherwise(F.raise_error(F.concat(F.lit(f"a vector has not {len(query)} numbers but "), F.size(v).cast("string"))).cast("double"))
-    return table.where(v.isNotNull()).withColumn("raw", checked).orderBy(F.desc("raw"), *ties).limit(take)
+    scored = table.where(v.isNotNull()).withColumn("raw", checked).drop(vector)
+    return (scored.dropDuplicates([distinct]) if distinct else scored).orderBy(F.desc("raw"), *ties).limit(take)
 
 
-def search(table: DataFrame, query: Sequence[float], text: str | None, k: int, ties: list[str], vector: str = "embedding", symbol: str = "symbol_name", dependency: Column | None = None) -> DataFrame:
+def search(table: DataFrame, query: Sequence[float], text: str | None, k: int, ties: list[str], vector: str = "embedding", symbol: str = "symbol_name", dependency: Column | None = None, distinct: str | None = None) -> DataFrame:
     """The best k rows with ``raw``, ``score`` and ``rank`` (from 1)."""
     if k <= 0:
-        return table.limit(0).withColumns({"raw": F.lit(0.0), "score": F.lit(0.0), "rank": F.lit(1)})
+        return table.drop(vector).limit(0).withColumns({"raw": F.lit(0.0), "score": F.lit(0.0), "rank": F.lit(1)})
     dependency = F.lower(F.col("origin")) == "dependency" if dependency is None else dependency
-    window = nearest(table, query, width(k), vector, ties)
+    window = nearest(table, query, width(k), vector, ties, distinct)
     scored = window.withColumn("score", score(F.col("raw"), F.col(symbol), F.lit(text).cast("string"), dependency))
     best = scored.orderBy(F.desc("score"), F.desc("raw"), *ties).limit(k)
     order = Window.orderBy(F.desc("score"), F.desc("raw"), *ties)  # k rows

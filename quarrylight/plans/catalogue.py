@@ -59,14 +59,18 @@ _SCORE = """{raw} + CASE WHEN {t} IS NULL OR {s} IS NULL THEN 0.0::DOUBLE WHEN l
   - CASE WHEN lower({o}) = 'dependency' THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END"""
 
 
+def deliveries(spark: SparkSession, at: str) -> DataFrame:
+    """chunk rows with a vector that can be searched; a chunk may come twice."""
+    return table(spark, at, "chunks").where(F.col("embedding").isNotNull() & (F.size("embedding") == SIZE) & ~F.exists("embedding", F.isnan))
+
+
 def usable(spark: SparkSession, at: str) -> DataFrame:
-    """chunks with a vector that can be searched, each once."""
-    c = table(spark, at, "chunks").where(F.col("embedding").isNotNull() & (F.size("embedding") == SIZE) & ~F.exists("embedding", F.isnan))
-    return c.dropDuplicates(["chunk_id"])
+    """The same, each chunk once."""
+    return deliveries(spark, at).dropDuplicates(["chunk_id"])
 
 
 def _asked(spark: SparkSession, at: str) -> tuple[list[float], str]:
-    row = usable(spark, at).orderBy("chunk_id").select("embedding", "symbol_name").first()
+    row = deliveries(spark, at).orderBy("chunk_id").select("embedding", "symbol_name").first()
     return ([], "") if row is None else (list(row[0]), row[1])
 
 
@@ -76,7 +80,7 @@ _Q = f"WITH u AS {_USABLE}, q AS (SELECT embedding AS qe, symbol_name AS qs FROM
 @query(f"{_Q} SELECT chunk_id, round(raw, 6) AS similarity FROM (SELECT u.chunk_id, {_SIM.format('u.embedding', 'q.qe')} AS raw FROM u, q) ORDER BY raw DESC, chunk_id LIMIT 10")
 def q_vector_topk(spark, at):
     vector, _ = _asked(spark, at)
-    return ranking.nearest(usable(spark, at), vector, 10, "embedding", ["chunk_id"]).select("chunk_id", F.round("raw", 6).alias("similarity"))
+    return ranking.nearest(deliveries(spark, at), vector, 10, "embedding", ["chunk_id"], "chunk_id").select("chunk_id", F.round("raw", 6).alias("similarity"))
 
 
 def _two_stage(text: str, k: int) -> str:
@@ -92,13 +96,13 @@ def _ranked(df: DataFrame) -> DataFrame:
 @query(_two_stage("qs", 10))
 def q_search_boosted(spark, at):
     vector, name = _asked(spark, at)
-    return _ranked(ranking.search(usable(spark, at), vector, name, 10, ["chunk_id"]))
+    return _ranked(ranking.search(deliveries(spark, at), vector, name, 10, ["chunk_id"], distinct="chunk_id"))
 
 
 @query(_two_stage("NULL::VARCHAR", 10))
 def q_search_no_text(spark, at):
     vector, _ = _asked(spark, at)
-    return _ranked(ranking.search(usable(spark, at), vector, None, 10, ["chunk_id"]))
+    return _ranked(ranking.search(deliveries(spark, at), vector, None, 10, ["chunk_id"], distinct="chunk_id"))
 
 
 @query(
@@ -110,9 +114,9 @@ def q_search_no_text(spark, at):
 def q_search_window(spark, at):
     """Which rows the first stage's window keeps out of the best 5."""
     vector, _ = _asked(spark, at)
-    rows = usable(spark, at)
-    two = ranking.search(rows, vector, "e", 5, ["chunk_id"]).select("chunk_id", F.lit(True).alias("two"))
-    scored = rows.withColumn("raw", vectors.similarity(F.col("embedding"), vectors.literal(vector)))
+    rows = deliveries(spark, at)
+    two = ranking.search(rows, vector, "e", 5, ["chunk_id"], distinct="chunk_id").select("chunk_id", F.lit(True).alias("two"))
+    scored = rows.withColumn("raw", vectors.similarity(F.col("embedding"), vectors.literal(vector))).drop("embedding").dropDuplicates(["chunk_id"])
     scored = scored.withColumn("score", ranking.score(F.col("raw"), F.col("symbol_name"), F.lit("e"), F.lower("origin") == "dependency"))
     one = scored.orderBy(F.desc("score"), F.desc("raw"), "chunk_id").limit(5).select("chunk_id", F.lit(True).alias("one"))
     return two.join(one, "chunk_id", "full").select("chunk_id", F.coalesce("two", F.lit(False)).alias("two_stage"), F.coalesce("one", F.lit(False)).alias("one_stage"))

@@ -253,7 +253,7 @@ class CodeIndex:
         chunks = self.refresh()["chunks"]
         narrow = chunks.select("file_key", "chunk_ord", "line_start", "line_end", "symbol_name", "origin", "crate_name", "embedding")
         best = ranking.search(narrow, embedding.embed_one(text, self.model()), text, k, TIES)
-        winners = best.drop("embedding").alias("w").join(chunks.select(F.col("file_key").alias("__f"), F.col("chunk_ord").alias("__o"), "display_text", "embedding_text"), (F.col("file_key") == F.col("__f")) & (F.col("chunk_ord") == F.col("__o")))
+        winners = best.join(chunks.select(F.col("file_key").alias("__f"), F.col("chunk_ord").alias("__o"), "display_text", "embedding_text"), (F.col("file_key") == F.col("__f")) & (F.col("chunk_ord") == F.col("__o")))
         from ..functions.paths import extract_module
 
         return winners.select("rank", F.col("file_key").alias("file_path"), "line_start", "line_end", "score", "symbol_name", "origin", "crate_name", extract_module(F.col("embedding_text")).alias("module_path"), "display_text").orderBy("rank")
