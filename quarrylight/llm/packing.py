@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
+
 TOKENIZERS = "/opt/tokenizers"
 PACKER_PIECES, OPEN_BINS = 20_000, 256
 
@@ -93,6 +95,7 @@ def pack(sized: DataFrame, budgets: DataFrame, key: str = "doc_id", size: str =
     """``budget, key, piece, start, size, packer, bin``: where every piece of every item lies, for each capacity."""
     kind, kind_b = dict(sized.dtypes)[key], dict(budgets.dtypes)[budget]
     caps = [(r[0], r[1]) for r in budgets.select(budget, capacity).distinct().where(F.col(capacity) >= 1).orderBy(budget).collect()]  # the stated capacities
+    sized = cut(sized.select(key, size))  # read twice: counted and packed; texts are tokenised once
     packers = max(1, -(-sized.count() // packer_pieces))
     listed = F.array(*[F.struct(F.lit(b).cast(kind_b).alias("b"), F.lit(c).alias("c")) for b, c in caps]) if caps else F.expr(f"cast(array() as array<struct<b:{kind_b},c:int>>)")
     pieces = (
