@@ -8,10 +8,12 @@ longest match only as far as needed for that many candidates.  Within a leaf
 all pairs are scored by one matrix product, and each vector keeps its best k;
 the trees' lists are merged by vector.
 
-How it runs: one pass counts the vectors of every prefix of ``bits`` bits (at
-most ``trees * 2**bits`` numbers reach the driver and go out again as leaf
-bounds); prefixes that are still too full are counted on, ``bits`` deeper.  Then
-every vector goes once to its leaf of each tree as 16-bit fractions.  A leaf is
+How it runs: one pass counts the vectors of every prefix of ``bits`` bits, which
+are at most ``trees * 2**bits`` numbers for the driver; the children of prefixes
+that are still too full are counted on, deeper.  As leaves hold ``leaf``
+vectors, all this comes to some ``8 * trees * rows / leaf`` numbers; ``leaf``
+grows with very large tables so that they stay below ``CELLS``.  The leaf bounds
+go out to the tasks.  Then every vector goes once to its leaf of each tree as 16-bit fractions.  A leaf is
 a bounded group; when all 60 bits of too many vectors are equal, they share a
 node out by their keys.  Every row is indexed and every row is a query.
 
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 CODE_BITS = 60
 SCALE = 32767.0
-_FULL = np.int64(1) << CODE_BITS
+CELLS = 4_000_000
 
 
 def usable(column: pa.ListArray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +81,8 @@ def _counts(vectors: DataFrame, size: int, trees: int, seed: int, depth: int, wi
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in keys], pa.int32()), pa.array([p for _, p in keys], pa.int64()), pa.array([sums[k] for k in keys], pa.int64())], ["tree", "prefix", "n"])
 
     counted = vectors.mapInArrow(run, "tree int, prefix bigint, n bigint").groupBy("tree", "prefix").agg(F.sum("n").alias("n"))
-    return {(r["tree"], r["prefix"]): r["n"] for r in counted.collect()}  # at most trees * 2**bits numbers a round
+    got = counted.toPandas()
+    return dict(zip(zip(got["tree"].tolist(), got["prefix"].tolist()), got["n"].tolist()))
 
 
 def leaf_bounds(vectors: DataFrame, size: int, trees: int, seed: int, leaf: int, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -96,15 +99,17 @@ def leaf_bounds(vectors: DataFrame, size: int, trees: int, seed: int, leaf: int,
                 for p, n in level.items():
                     above[p >> 1] = above.get(p >> 1, 0) + n
                 for p, n in level.items():
-                    if above[p >> 1] > leaf or d == shorter + 1:
+                    if above[p >> 1] > leaf:
                         if n > leaf and d == depth < CODE_BITS:
                             full[t].append(p)
                         else:
                             nodes[t][d, p] = n
                 level = {p: n for p, n in above.items() if n <= leaf}
+            nodes[t] |= {(shorter, p): n for p, n in level.items()}  # the root, of a small table
         if not any(full):
             break
-        shorter, depth = depth, min(CODE_BITS, depth + bits)
+        most = max(counts[t, p] for t in range(trees) for p in full[t])
+        shorter, depth = depth, min(CODE_BITS, depth + max(1, min(bits, int(np.ceil(np.log2(most / leaf))) + 1)))
         within = [np.array(x, dtype=np.int64) for x in full] + [np.array([depth - shorter])]
     bounds = []
     for t in range(trees):
@@ -118,6 +123,7 @@ def most_similar(
 ) -> DataFrame:
     """``key, neighbour, similarity, rank``: for every usable vector the k most similar others of at least ``least`` cosine."""
     vectors = table.select(F.col(vector).alias("v"))
+    leaf = max(leaf, -(-8 * trees * table.count() // CELLS))
     bounds = leaf_bounds(vectors, size, trees, seed, leaf, bits)
     kind = dict(table.dtypes)[key]
 
