@@ -28,6 +28,7 @@ from ..operators.overview import index_result, overviews
 from ..sources import config as cfg
 from ..sources import git
 from .lineage import cut
+from .session import ship
 from .store import Store
 
 MODEL = "hash-256"
@@ -47,7 +48,7 @@ class CodeIndex:
     """``project`` is the folder that keys are relative to; ``folder`` holds the snapshots."""
 
     def __init__(self, spark: SparkSession, project: str | Path, folder: str | Path | None = None, global_config: str | Path | None = None) -> None:
-        self.spark, self.project = spark, Path(project).resolve()
+        self.spark, self.project = ship(spark), Path(project).resolve()
         self.git_root = git.find_root(self.project)
         base = Path(folder) if folder else (self.git_root or self.project) / ".git" / "quarrylight"
         base.mkdir(parents=True, exist_ok=True)
