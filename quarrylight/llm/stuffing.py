@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 WINDOW, LAGS = 64, 32
 LEAST_WORDS = 8
 CORRELATION, SPARSE_CORRELATION, PROSE_CORRELATION, SPARSE = 0.035, 0.012, 0.06, 0.10
-LINKED, TAGGED, SYMBOLS, SHARE = 0.6, 0.6, 0.3, 0.5
+LINKED, TAGGED, SYMBOLS, DESCRIBED, SHARE = 0.6, 0.6, 0.3, 0.15, 0.5
 # Function words of the corpus's languages.
 FUNCTION_WORDS = frozenset(
     (
@@ -96,7 +96,7 @@ def spam_characters(paragraph: str) -> int:
     stuffed = sum(len(words[k : k + WINDOW]) for k in range(0, n, WINDOW) if stuffed_window(words[max(0, min(k, n - WINDOW)) : k + WINDOW]))
     nouns = not stuffed and n >= 2 * LEAST_WORDS and sum(map(FUNCTION_WORDS.__contains__, words)) <= 0.02 * n and not _SENTENCE.search(rest) and max(map(len, rest.split("\n"))) > 80
     if not stuffed and not nouns:
-        return links
+        return 0 if sum(map(FUNCTION_WORDS.__contains__, words)) >= DESCRIBED * n else links  # sentences describe their links
     symbols = sum(map(len, _SYMBOL.findall(rest)))
     if symbols >= SYMBOLS * sum(map(len, words)):
         return links  # an index of symbols, or code
