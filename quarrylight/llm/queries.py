@@ -67,6 +67,13 @@ def p6_packed(spark: SparkSession, at: str) -> DataFrame:
     return packing.pack(packing.token_counts(table(spark, at, "documents")), table(spark, at, "token_budgets"))
 
 
+def p6_fill(spark: SparkSession, at: str) -> DataFrame:
+    """How full the bins of each capacity are."""
+    budgets = table(spark, at, "token_budgets").select("budget_id", "budget_name", "capacity_tokens").distinct()
+    used = p6_packed(spark, at).groupBy("budget_id").agg(F.count_distinct("packer", "bin").alias("bins"), F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"))
+    return used.join(budgets, "budget_id").select("budget_id", "budget_name", "bins", "pieces", "tokens", F.round(F.col("tokens") / (F.col("bins") * F.col("capacity_tokens")), 6).alias("fill"))
+
+
 def p7_found(spark: SparkSession, at: str) -> DataFrame:
     return leakage.leaks(table(spark, at, "documents"), table(spark, at, "eval_items")).where(F.col("longest_run") >= 12).select("doc_id", "item_id")
 
@@ -90,7 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_neighbours, p2_found, p2_reasons, p3_found, p3_errors, p3_rates, p4_found, p4_pairs,
-        p5_found, p5_groups, p6_packed, p7_found, p7_scores, p8_found, p8_by_source,
+        p5_found, p5_groups, p6_packed, p6_fill, p7_found, p7_scores, p8_found, p8_by_source,
     )
 }
 _GRAMS = """g AS (SELECT id, list_distinct(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(list_slice(w, i, i + {n} - 1), ' '))) AS g FROM w WHERE len(w) >= {n})"""
