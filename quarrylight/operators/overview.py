@@ -1,7 +1,7 @@
 """File overviews (F8-F9, R10-R11) and counts (A1-A2).
 
 Cases: a file without overview chunks has no overview (the API raises for it);
-null display texts are skipped; ties of visibility keep the chunk order.
+null display texts are skipped; a chunk that comes twice counts once; ties of visibility keep the chunk order.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from ..functions.code_text import visibility_rank
 def overviews(chunks: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row a file: its overview chunks' texts by visibility, then by ``order``, joined by blank lines; ``parts``, ``overview``."""
     only = chunks.where((F.col("chunk_type") == "Overview") & F.col("display_text").isNotNull())
-    parts = F.array_sort(F.collect_list(F.struct(visibility_rank(F.col("visibility")).alias("rank"), *order, "display_text")))
+    parts = F.array_sort(F.collect_set(F.struct(visibility_rank(F.col("visibility")).alias("rank"), *order, "display_text")))
     return only.groupBy(*keys).agg(parts.alias("parts")).select(*keys, F.size("parts").cast("bigint").alias("parts"), F.array_join(F.transform("parts", lambda x: x["display_text"]), "\n\n").alias("overview"))
 
 

@@ -257,7 +257,7 @@ def q_type_groups(spark, at):
   SELECT repo, file_path, count(*) AS parts, string_agg(display_text, chr(10) || chr(10) ORDER BY rank, chunk_ord, display_text) AS overview FROM c WHERE display_text IS NOT NULL GROUP BY repo, file_path"""
 )
 def q_overview(spark, at):
-    return ov.overviews(table(spark, at, "chunks").dropDuplicates(["chunk_id"]), ["repo", "file_path"], ["chunk_ord"])
+    return ov.overviews(table(spark, at, "chunks"), ["repo", "file_path"], ["chunk_ord"])
 
 
 @query("SELECT (SELECT count(*) FROM (SELECT DISTINCT repo, file_path FROM source_files)) AS files_indexed, (SELECT count(DISTINCT chunk_id) FROM chunks) AS chunks_created")
