@@ -13,13 +13,19 @@ are at most ``trees * 2**bits`` numbers for the driver; the children of prefixes
 that are still too full are counted on, deeper.  As leaves hold ``leaf``
 vectors, all this comes to some ``8 * trees * rows / leaf`` numbers; ``leaf``
 grows with very large tables so that they stay below ``CELLS``.  The leaf bounds
-go out to the tasks.  Then every vector goes once to its leaf of each tree as 16-bit fractions.  A leaf is
-a bounded group; when all 60 bits of too many vectors are equal, they share a
-node out by their keys.  Every row is indexed and every row is a query.
+go out to the tasks.  Then every vector goes once to its leaf of each tree as 24-bit fractions.  A leaf is
+a bounded group.  Vectors whose 60 bits are all equal stay together up to ``WIDE``
+leaves; above, the node is halved on by planes of its own, other ones in each
+tree, that lie at the quantiles of a sample of the node and so cut however close
+the vectors are.  Only equal vectors are shared out by their keys.  Every row is
+indexed and every row is a query.
+
+Scores: float products choose ``SLACK`` more than needed, double differences rank
+them; nothing is rounded before the final rank.
 
 Cases: null, short or long vectors, zero vectors and those with a null, NaN or
 infinite value are not usable and give no row; a key that comes twice counts
-once; of equal vectors each finds k others; empty tables give no rows.
+once; of equal vectors each finds k others, those of the least keys in its group; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -32,8 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CODE_BITS = 60
-SCALE = 32767.0
+SCALE = 8388607.0
 CELLS = 4_000_000
+# Leaves that vectors of equal bits may fill as one group, sampled vectors a group, and candidates beside those needed.
+WIDE, SAMPLE, SLACK = 4, 64, 12
+SHARES = 1 << 30
 
 
 def usable(column: pa.ListArray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,6 +127,119 @@ def leaf_bounds(vectors: DataFrame, size: int, trees: int, seed: int, leaf: int,
     return bounds
 
 
+def packed_bytes(vectors: np.ndarray) -> list[bytes]:
+    """Three bytes a value."""
+    fractions = np.ascontiguousarray(np.round(vectors * SCALE).astype("<i4"))
+    return [x.tobytes() for x in fractions.view(np.uint8).reshape(*vectors.shape, 4)[:, :, :3]]
+
+
+def unpacked(values: list[bytes], size: int) -> np.ndarray:
+    """The vectors of ``packed_bytes``, normalised, in double."""
+    wide = np.zeros((len(values), size, 4), np.uint8)
+    wide[:, :, 1:] = np.frombuffer(b"".join(values), np.uint8).reshape(-1, size, 3)
+    v = (wide.view("<i4")[:, :, 0] >> 8).astype(np.float64)
+    return v / np.sqrt((v**2).sum(1))[:, None]
+
+
+def halves(sample: np.ndarray, cells: int, rng: np.random.Generator, first: int = 0) -> tuple:
+    """A node cut into about ``cells`` groups: ``(first group, groups)`` or ``(mean, plane, bound, left, right)``."""
+    if cells < 2 or len(sample) < 2:
+        return first, 1
+    mean = sample.mean(0)
+    apart = sample - mean
+    plane = rng.standard_normal(len(sample)) @ apart  # drawn with the node's own covariance
+    side = apart @ plane
+    values = np.unique(side)
+    if values[-1] - values[0] <= 1e-9 * float(np.sqrt((plane**2).sum())):  # as close as the fractions are
+        return first, cells
+    bound = min(np.quantile(side, (cells // 2) / cells, method="lower"), values[-2])
+    left = side <= bound
+    mine = min(cells - 1, max(1, round(cells * left.mean())))
+    return mean, plane, bound, halves(sample[left], mine, rng, first), halves(sample[~left], cells - mine, rng, first + mine)
+
+
+def group_of(node: tuple, vectors: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """The group of each vector in a node that ``halves`` has cut."""
+    if len(node) == 2:
+        return node[0] + share % node[1]
+    mean, plane, bound, left, right = node
+    out, low = np.zeros(len(vectors), np.int64), (vectors - mean) @ plane <= bound
+    for side, below in ((low, left), (~low, right)):
+        if side.any():
+            out[side] = group_of(below, vectors[side], share[side])
+    return out
+
+
+def cuts(once: DataFrame, bounds: list[tuple[np.ndarray, np.ndarray]], size: int, seed: int, leaf: int) -> list[dict[int, tuple]]:
+    """For each tree the cuts of the nodes that are too full for one group, from one sample of all rows."""
+    if not any((parts > WIDE).any() for _, parts in bounds):
+        return [{} for _ in bounds]
+    rate = min(1.0, SAMPLE / (WIDE * leaf))
+    rows = once.where(F.col("share") < int(rate * SHARES)).select("v", "share").toPandas().sort_values("share")
+    if not len(rows):
+        return [{} for _ in bounds]
+    sample = unpacked(rows["v"].tolist(), size)
+    out = []
+    for t, (first, parts) in enumerate(bounds):
+        at = leaves(first, sample, t, seed) if len(first) else np.zeros(0, np.int64)
+        mine = {}
+        for x in np.flatnonzero(parts > WIDE).tolist():
+            inside = sample[at == x]
+            mine[x] = halves(inside, int(np.ceil(len(inside) / SAMPLE)) if rate < 1 else int(np.ceil(len(inside) / (WIDE * leaf))), np.random.default_rng([seed, t, x]))
+        out.append(mine)
+    return out
+
+
+def leaves(first: np.ndarray, vectors: np.ndarray, tree: int, seed: int) -> np.ndarray:
+    return np.maximum(np.searchsorted(first, codes(vectors.astype(np.float32), tree, seed), "right") - 1, 0)
+
+
+def nearest(v: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``row, other, cosine`` of the k best others of at least ``least`` for each of these unit vectors, which are in the order of their keys."""
+    _, copy = np.unique(v.view(f"V{v.itemsize * v.shape[1]}")[:, 0], return_inverse=True)
+    order = np.argsort(copy, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(copy[order]) > 0])
+    place = np.empty(len(v), np.int64)
+    place[order] = np.arange(len(v)) - np.repeat(starts, np.diff(np.r_[starts, len(v)]))
+    able = np.flatnonzero(place <= k)  # of equal vectors the k + 1 first stand for all
+    asked = order[starts]
+    centred = (v - v.mean(0)).astype(np.float32)
+    half = (centred.astype(np.float64) ** 2).sum(1).astype(np.float32) / 2
+    near, take = centred[able].T, min(len(able), k + 1 + SLACK)
+    tile = max(16, (1 << 21) // len(able))
+    rows: list[np.ndarray] = []
+    others: list[np.ndarray] = []
+    scores: list[np.ndarray] = []
+    for at in range(0, len(asked), tile):
+        mine = asked[at : at + tile]
+        s = centred[mine] @ near
+        s -= half[able]
+        s -= half[mine, None]  # the cosine less one
+        if least > -1:
+            held = (s >= least - 1 - 1e-5).sum(1) > (place[able] == 0)[np.searchsorted(able, mine)]
+            mine, s = mine[held], s[held]
+            if not len(mine):
+                continue
+        top = able[np.argpartition(s, len(able) - take, axis=1)[:, len(able) - take :]] if take < len(able) else np.tile(able, (len(mine), 1))
+        top.sort(axis=1)
+        cosine = 1 - ((v[mine][:, None] - v[top]) ** 2).sum(2) / 2
+        best = np.argsort(-cosine, axis=1, kind="stable")[:, : k + 1]
+        rows.append(mine)
+        others.append(np.take_along_axis(top, best, 1))
+        scores.append(np.take_along_axis(cosine, best, 1))
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    asked, other, cosine = np.concatenate(rows), np.concatenate(others), np.concatenate(scores)
+    where = np.full(len(starts), -1)
+    where[copy[asked]] = np.arange(len(asked))
+    row = np.flatnonzero(where[copy] >= 0)  # every copy gets the list of the first
+    other, cosine = other[where[copy[row]]], cosine[where[copy[row]]]
+    good = (other != row[:, None]) & (cosine >= least)
+    good &= np.cumsum(good, axis=1) <= k
+    r, c = np.nonzero(good)
+    return row[r], other[r, c], cosine[r, c]
+
+
 def most_similar(
     table: DataFrame, key: str, vector: str, size: int, k: int = 5, least: float = -1.0, trees: int = 14, leaf: int = 4096, bits: int = 12, seed: int = 11
 ) -> DataFrame:
@@ -130,50 +252,35 @@ def most_similar(
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, v = usable(b.column(1), size)
-            packed = np.round(v * SCALE).astype("<i2")
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array([x.tobytes() for x in packed], pa.binary())], ["key", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(packed_bytes(v), pa.binary())], ["key", "v"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = np.frombuffer(b"".join(b.column(1).to_pylist()), "<i2").reshape(-1, size).astype(np.float32)
+            v = unpacked(b.column(1).to_pylist(), size)
             share = b.column(2).to_numpy()
-            for t, (first, parts) in enumerate(bounds):
+            for t, (first, _) in enumerate(bounds):
                 if not len(first):
                     continue
-                at = np.maximum(np.searchsorted(first, codes(v, t, seed), "right") - 1, 0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), pa.array(at.astype(np.int64)), pa.array((share % parts[at]).astype(np.int32)), b.column(0), b.column(1)], ["tree", "leaf", "part", "key", "v"])
+                at = leaves(first, v, t, seed)
+                part = np.zeros(len(v), np.int64)
+                for x in full[t].keys() & set(at.tolist()):
+                    rows = np.flatnonzero(at == x)
+                    part[rows] = group_of(full[t][x], v[rows], share[rows] * (2 * t + 3) >> 7)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), pa.array(at.astype(np.int64)), pa.array(part.astype(np.int32)), b.column(0), b.column(1)], ["tree", "leaf", "part", "key", "v"])
 
     def best(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
+        group = group.sort_by("key").combine_chunks()
         keys = group.column("key")
-        v = np.frombuffer(b"".join(group.column("v").to_pylist()), "<i2").reshape(-1, size).astype(np.float32)
-        v /= np.sqrt((v.astype(np.float64) ** 2).sum(1))[:, None].astype(np.float32)
-        n, take = len(v), min(k, len(v) - 1)
-        left, right, score = [], [], []
-        for at in range(0, n if take > 0 else 0, 512):
-            s = v[at : at + 512] @ v.T
-            s[np.arange(len(s)), np.arange(at, at + len(s))] = -2
-            busy = np.flatnonzero((s >= least).any(1))
-            if not len(busy):
-                continue
-            s = s[busy]
-            top = np.argpartition(-s, take - 1, axis=1)[:, :take]
-            value = np.take_along_axis(s, top, 1)
-            row, col = np.nonzero(value >= max(least, -1.5))
-            left.append(busy[row] + at)
-            right.append(top[row, col])
-            score.append(value[row, col])
-        i = np.concatenate(left) if left else np.zeros(0, np.int64)
-        j = np.concatenate(right) if right else np.zeros(0, np.int64)
-        c = np.concatenate(score) if score else np.zeros(0, np.float32)
-        return pa.table([keys.take(pa.array(i)), keys.take(pa.array(j)), pa.array(np.round(c.astype(np.float64), 5), pa.float64())], ["key", "neighbour", "similarity"])
+        i, j, c = nearest(unpacked(group.column("v").to_pylist(), size), k, least)
+        return pa.table([keys.take(pa.array(i)), keys.take(pa.array(j)), pa.array(c, pa.float64())], ["key", "neighbour", "similarity"])
 
     packed = table.select(F.col(key).alias("key"), F.col(vector).alias("v")).where(F.col("key").isNotNull()).mapInArrow(pack, f"key {kind}, v binary")
-    once = packed.dropDuplicates(["key"]).withColumn("share", F.pmod(F.xxhash64("key"), F.lit(1 << 30)).cast("bigint"))
+    once = packed.dropDuplicates(["key"]).withColumn("share", F.pmod(F.xxhash64("key"), F.lit(SHARES)).cast("bigint"))
+    full = cuts(once, bounds, size, seed, leaf)
     placed = once.mapInArrow(spread, f"tree int, leaf bigint, part int, key {kind}, v binary")
     found = placed.groupBy("tree", "leaf", "part").applyInArrow(best, f"key {kind}, neighbour {kind}, similarity double")
     ranked = found.groupBy("key").agg(F.array_sort(F.collect_set(F.struct((-F.col("similarity")).alias("d"), "neighbour"))).alias("all"))  # at most k a tree
     firsts = F.filter("all", lambda x, i: ~F.exists(F.slice("all", F.lit(1), i), lambda y: y["neighbour"] == x["neighbour"]))
     return ranked.select("key", F.posexplode(F.slice(firsts, 1, k)).alias("rank", "x")).select(
-        F.col("key").alias(key), F.col("x.neighbour").alias("neighbour"), (-F.col("x.d")).alias("similarity"), (F.col("rank") + 1).alias("rank")
+        F.col("key").alias(key), F.col("x.neighbour").alias("neighbour"), F.round(-F.col("x.d"), 5).alias("similarity"), (F.col("rank") + 1).alias("rank")
     )

@@ -58,3 +58,31 @@ def test_leaves_are_bounded(spark):
     df = spark.createDataFrame([([float(x) for x in rng.standard_normal(8)],) for _ in range(500)], "v array<float>")
     for first, parts in similar.leaf_bounds(df, 8, 2, 1, 40, 3):
         assert (np.diff(first) > 0).all() and first[0] >= 0 and len(first) >= 500 / 40 and (parts == 1).all()
+
+
+def test_recall_of_a_third_that_is_nearly_equal(spark):
+    rng = np.random.default_rng(9)
+    n, size = 3000, 32
+    v = rng.standard_normal((n, size))
+    v[::3] = v[0] / np.linalg.norm(v[0]) + rng.standard_normal((n // 3, size)) * np.sqrt(1e-4 / size)  # pairs of cosine 0.9999
+    v = v.astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "id long, e array<float>")
+    unit = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    s = unit @ unit.T
+    np.fill_diagonal(s, -2)
+    assert 0.9998 < np.median(s[::3, ::3]) < 0.99995
+    want = {(i, int(j)) for i in range(0, n, 3) for j in np.argsort(-s[i])[:5]}
+    got = {(r["id"], r["neighbour"]) for r in similar.most_similar(df, "id", "e", size, k=5, leaf=32).collect() if not r["id"] % 3}
+    assert len(got) == len(want) and len(got & want) / len(want) >= 0.9
+
+
+def test_ranks_by_unrounded_scores_and_least_keys():
+    rng = np.random.default_rng(10)
+    base = rng.standard_normal(16)
+    v = base + rng.standard_normal((400, 16)) * 1e-4
+    v[100:200] = base  # copies
+    v = similar.unpacked(similar.packed_bytes((v / np.linalg.norm(v, axis=1)[:, None])), 16)
+    i, j, _ = similar.nearest(v, 3, -1.0)
+    far = ((v[:, None] - v[None]) ** 2).sum(2)
+    np.fill_diagonal(far, 9)
+    assert (i == np.repeat(np.arange(400), 3)).all() and (j.reshape(-1, 3) == np.argsort(far, axis=1, kind="stable")[:, :3]).all()
