@@ -5,9 +5,9 @@ Four kinds of evidence, strongest first:
 1. declarations: repository attribute files (``attribute_rules``: globs, the
    deepest directory and in it the last line win) and registered sources (the
    first that holds the file wins, ``dep`` marks foreign code);
-2. patterns: directory names that carry such declarations elsewhere
-   (``mined_names``), and conventional ones, applied to repositories that
-   declare nothing about the file;
+2. patterns: directory names and file-name globs that carry such declarations,
+   of either kind, elsewhere (``mined_names``), and conventional directory
+   names, applied to repositories that declare nothing about the file;
 3. notices in the comments before the first token: generated by a tool, or
    copyright, origin or distribution of another project;
 4. the text itself: minified, data, or lines whose shapes recur at one lag.
@@ -140,7 +140,7 @@ def attribute_rules(files: DataFrame, repo: str = "repo", path: str = "file_path
         .select(F.col(repo).alias("repo"), F.regexp_replace(p, r"/?[^/]*$", "").alias("dir"), F.posexplode(F.split(F.col(text), r"\r?\n")).alias("line", "body"))
         .where(~F.col("body").rlike(r"^\s*(#|$)"))
     )
-    words = lines.withColumn("words", F.split(F.trim("body"), r"\s+")).select("repo", "dir", "line", F.element_at("words", 1).alias("glob"), F.explode(F.slice("words", 2, 100)).alias("word"))
+    words = lines.withColumn("words", F.split(F.trim("body"), r"\s+")).select("repo", "dir", "line", F.element_at("words", 1).alias("glob"), F.explode(F.slice("words", F.lit(2), F.size("words"))).alias("word"))
     mark = F.regexp_extract("word", r"^[-!]?linguist-(generated|vendored)(?:=|$)", 1)
     return words.where(mark != "").select(
         "repo", "dir", F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/"))).alias("depth"), "line",
@@ -159,8 +159,8 @@ def declared_by_attributes(paths: DataFrame, rules: DataFrame, key: str) -> Data
 
 
 def mined_names(declared: DataFrame, least_files: int = 20, least_repos: int = 5, precision: float = 0.9) -> DataFrame:
-    """Directory names under which declared files (``repo, path, foreign``) are nearly always foreign, in several repositories: ``name``."""
-    names = declared.select("repo", "foreign", F.explode(_directories(F.col("path"))).alias("name"))
+    """Directory names and file-name globs whose declared files (``repo, path, foreign``) are nearly always foreign, in several repositories: ``name``."""
+    names = declared.select("repo", "foreign", F.explode(_patterns(F.col("path"))).alias("name"))
     counted = names.groupBy("name").agg(F.count("*").alias("files"), F.sum(F.col("foreign").cast("int")).alias("foreign"), F.approx_count_distinct("repo").alias("repos"))
     return counted.where((F.col("files") >= least_files) & (F.col("repos") >= least_repos) & (F.col("foreign") >= precision * F.col("files"))).select("name")
 
@@ -170,16 +170,25 @@ def _directories(path: Column) -> Column:
     return F.array_distinct(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))))
 
 
+def _patterns(path: Column) -> Column:
+    """The names of a path's directories, and ``*.x.y`` and ``*_x.y`` for the end of its file name."""
+    file = F.regexp_extract(F.lower(normal_path(path)), r"([^/]*)$", 1)
+    ends = F.array(*[F.concat(F.lit("*"), F.nullif(F.regexp_extract(file, end, 1), F.lit(""))) for end in (r"[^.](\.[^.]+\.[^.]+)$", r"[^_](_[^_.]+\.[^.]+)$")])
+    return F.concat(_directories(path), F.array_compact(ends))
+
+
 def label_files(files: DataFrame, sources: DataFrame, key: str = "file_id", repo: str = "repo", path: str = "file_path", text: str = "file_text") -> DataFrame:
     """One row a file: ``key, repo, path``, the evidence, ``declared``, ``located``, ``by_hand`` and the first ``reason``."""
     seen = text_evidence(files, key, repo, path, text)
     places = with_owner(files.select(F.col(key).alias("__key"), F.col(repo).alias("repo"), F.col(path).alias("path")), sources, "repo", "path").dropDuplicates(["__key"])
-    mined = mined_names(places.where(F.col("owner_dep").isNotNull()).select("repo", "path", F.col("owner_dep").alias("foreign")))
+    marks = declared_by_attributes(places.select("__key", "repo", "path"), attribute_rules(files, repo, path, text), "__key")
+    places = places.join(marks, "__key", "left")
+    foreign = F.coalesce("declared", "owner_dep")
+    mined = mined_names(places.where(foreign.isNotNull()).select("repo", "path", foreign.alias("foreign")))
     conventional = F.array(*map(F.lit, [*FOREIGN_NAMES, *GENERATED_NAMES]))
-    names = places.select("__key", F.explode(_directories(F.col("path"))).alias("name"))
+    names = places.select("__key", F.explode(_patterns(F.col("path"))).alias("name"))
     by_mined = names.join(mined, "name", "left_semi").select("__key").distinct().withColumn("mined", F.lit(True))
-    marks = declared_by_attributes(places.select("__key", "repo", "path"), attribute_rules(files, repo, path, text), "__key")
-    places = places.join(marks, "__key", "left").join(by_mined, "__key", "left").select(
+    places = places.join(by_mined, "__key", "left").select(
         "__key", F.coalesce("declared", F.when(F.col("owner_dep"), True)).alias("declared"),
         (F.coalesce(F.arrays_overlap(_directories(F.col("path")), conventional), F.lit(False)) | F.coalesce("mined", F.lit(False))).alias("located"),
     )

@@ -47,6 +47,16 @@ def test_mined_names(spark):
     assert [r["name"] for r in hw.mined_names(spark.createDataFrame(rows, "repo string, path string, foreign boolean")).collect()] == ["plugins_ext"]
 
 
+def test_names_are_mined_from_attribute_files(spark):
+    many = " ".join(f"a{k}" for k in range(120))
+    files = [(100 * i, f"r{i}", ".gitattributes", f"stubs_out/** {many} linguist-generated\n*.pb.rs linguist-generated\n*_own.rs -linguist-generated\n") for i in range(6)]
+    files += [(100 * i + 10 * k + j, f"r{i}", path.format(j), HAND) for i in range(6) for k, path in enumerate(("stubs_out/{}.rs", "src/m{}.pb.rs", "src/m{}_own.rs"), 1) for j in range(4)]
+    files += [(900, "plain", "a/stubs_out/z.rs", HAND), (901, "plain", "src/q.pb.rs", HAND), (902, "plain", "src/q_own.rs", HAND), (903, "plain", "src/q.rs", HAND)]
+    df = spark.createDataFrame([(*f, "clash", 1) for f in files], FILES)
+    got = {r["file_id"]: r["reason"] for r in hw.label_files(df, spark.createDataFrame([], SOURCES)).where("file_id >= 900 or file_id = 10").collect()}
+    assert got == {10: "declared", 900: "location", 901: "location", 902: None, 903: None}
+
+
 @pytest.mark.parametrize("glob, path, hit", [("*.rs", "a/b.rs", True), ("/*.rs", "a/b.rs", False), ("a/*.rs", "a/b.rs", True), ("a/**", "a/b/c.rs", True), ("**/x/*.h", "a/x/b.h", True), ("a?.rs", "ab.rs", True), ("a.rs", "axrs", False), ("a/**/z.rs", "a/z.rs", True)])
 def test_globs(spark, glob, path, hit):
     df = spark.createDataFrame([(glob, path)], "g string, p string")
