@@ -26,8 +26,11 @@ LEAST_WORDS = 4
 # Words that mark a description still to be written, and words that add nothing to a name.
 _PLACEHOLDER = re.compile(
     r"(?i)^\W*(?:(?:todo|fixme|xxx|tbd|tba|hack|wip)\b|(?:(?:add|write|insert|put|fill in|needs?|missing|no)\b[\w\s]{0,24}?\b(?:doc|docs|documentation|description|comment|summary|docstring)\b"
-    r"|(?:description|documentation|doc|docs|comment|summary)\b[\w\s,]{0,20}?\b(?:goes here|here|to do|todo|tbd|missing|pending|to be (?:written|added|done|filled in)|to come|later|needed)\b"
-    r"|to be (?:documented|written|described|done)\b|undocumented\b|not (?:yet )?documented\b|lorem ipsum\b|placeholder\b))"
+    r"|(?:description|documentation|doc|docs|comment|summary)\b[\w\s,]{0,20}?\b(?:goes here|here|to do|todo|tbd|missing|pending|to be (?:written|added|done|filled in)|to come|later|needed)\b)"
+    # nothing else in the sentence: what, when and by whom it is to be written
+    r"(?:[\s(\[,:-]+(?:(?:for|of|on|to|about)\s+(?:this|the)\s+(?:function|method|fn|api|item|class|struct|type|helper|code)|here|yet|later|now|soon|please|available|provided|given|needed|required|missing|pending|todo|tbd|fixme|goes here|to come))*"
+    r"[\s)\]]*(?:[.!?;…]|\n\s*\n|\Z)"
+    r"|(?:to be (?:documented|written|described|done)\b|undocumented\b|not (?:yet )?documented\b|lorem ipsum\b|placeholder\b))"
 )
 _FILLER = frozenset("a an the this that these those of for to from in on at by with and or is are be it its returns return gets get sets set does do function functions method methods fn given value values result results param parameter parameters brief".split())
 _TAG = re.compile(r"[@\\](?:param(?:\[[^\]]*\])?|tparam)\s+\w+|[@\\](?:brief|returns?|details|short|note|fn|file|summary)\b")
@@ -55,7 +58,7 @@ def trivial(doc: str, names: list[str]) -> bool:
     """Empty, only punctuation, a placeholder, fewer than four words, or nothing but the names given."""
     words = doc.split()
     said = [w for w in words if _WORD.search(w)]
-    if len(said) < LEAST_WORDS or _PLACEHOLDER.search(_TAG.sub(" ", doc)):
+    if len(said) < LEAST_WORDS or _PLACEHOLDER.search(_TAG.sub("\n\n", doc)):
         return True
     text = "\n".join(x for x in doc.split("\n"))
     known = {p for n in names for p in parts_of(n)} | {n.lower() for n in names}

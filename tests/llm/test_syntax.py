@@ -169,6 +169,14 @@ def test_trivial(doc, expected):
     assert docpairs.trivial(doc, ["cart_total", "items"]) is expected
 
 
+@pytest.mark.parametrize("doc, expected", [
+    ("Write the summary row to the report table.", False), ("Insert a comment above the matched line and return its row.", False), ("Write the summary\nrow to the report table.", False), ("Comment lines here are skipped by the reader.", False),
+    ("Add documentation for this function.", True), ("Write a proper summary here, please", True), ("Documentation to be written later!", True), ("@brief Add description here\n@param items the items", True),
+])
+def test_placeholders_fill_their_sentence(doc, expected):
+    assert docpairs.trivial(doc, ["cart_total", "items"]) is expected
+
+
 def test_both_found_over_given_columns(spark):
     df = spark.createDataFrame([(1, "r", "a.rs", DOCS_RUST)], "file_id long, repo string, file_path string, file_text string").withColumn("k", F.lit(1)).withColumn("p", F.lit(2)).withColumn("t", F.lit(3))
     assert docpairs.pair_functions(df).count() == 5 and parsing.check_files(df).count() == 1
