@@ -1,48 +1,56 @@
 """Most similar vectors for every vector, by a hash-prefix forest.
 
-Each tree hashes a vector to a long string of bits (the sides of random
-orthogonal planes) and keeps the strings sorted.  A prefix is a node: the
-forest descends from the root, all trees by the same rule, to the longest
-prefixes that still hold ``leaf`` vectors, and so ascends from each vector's
-longest match only as far as needed for that many candidates.  Within a leaf
-all pairs are scored by one matrix product, and each vector keeps its best k;
-the trees' lists are merged by vector.
-
-How it runs: one pass counts the vectors of every prefix of ``bits`` bits, which
-are at most ``trees * 2**bits`` numbers for the driver; the children of prefixes
-that are still too full are counted on, deeper.  As leaves hold ``leaf``
-vectors, all this comes to some ``8 * trees * rows / leaf`` numbers; ``leaf``
-grows with very large tables so that they stay below ``CELLS``.  The leaf bounds
-go out to the tasks.  Then every vector goes once to its leaf of each tree as 24-bit fractions.  A leaf is
-a bounded group.  Vectors whose 60 bits are all equal stay together up to ``WIDE``
-leaves; above, the node is halved on by planes of its own, other ones in each
-tree, that lie at the quantiles of a sample of the node and so cut however close
-the vectors are.  Only equal vectors are shared out by their keys.  Every row is
-indexed and every row is a query.
+A tree gives every vector a long string of bits.  The first bits are the sides
+of planes between two centres each; which plane a prefix asks next was learnt
+from ``sample`` rows, down to ``cell`` of them.  The other bits, up to
+``CODE_BITS``, are sides of orthogonal planes through the middle of that cell.
+A tree's strings lie in a sorted array.  A search
+
+1. descends: in every tree the neighbours of a string in the array are those
+   with which it shares its longest prefixes;
+2. ascends in all trees at once, from the longest shared prefix on, one bit a
+   step, until the nodes of that depth hold ``candidates`` vectors together;
+3. scores the vectors of those nodes and keeps the best k of all trees.
+
+How it runs: the arrays are cut into slices of about ``rows`` strings, whose
+bounds are quantiles of the sample's strings (equal strings are told apart by a
+hash of the key, so copies are shared out too), and a slice is a sorted
+partition that its task reads as a stream.  The first pass carries strings only
+and finds how many others share 1, 2, ... bits with each one, ``window`` places
+either way; summed over the trees this is the depth at which the ascent ends.
+The second carries the vectors, as 24-bit fractions, and scores blocks of the
+array against their surroundings by matrix products, of which only pairs count
+that share the prefix of that depth.  What a search does hangs on ``candidates``
+and ``window`` alone, not on the size of the table; every row is indexed and
+every row is a query.  What goes out to the tasks is bounded by ``sample``.
 
 Scores: float products choose ``SLACK`` more than needed, double differences rank
 them; nothing is rounded before the final rank.
 
 Cases: null, short or long vectors, zero vectors and those with a null, NaN or
-infinite value are not usable and give no row; a key that comes twice counts
-once; of equal vectors each finds k others, those of the least keys in its group; empty tables give no rows.
+infinite value are not usable and give no row; a null key gives none; a key that
+comes with several vectors counts with the least of them; equal vectors are each
+other's neighbours, those next in the arrays first; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 CODE_BITS = 60
 SCALE = 8388607.0
-CELLS = 4_000_000
-# Leaves that vectors of equal bits may fill as one group, sampled vectors a group, and candidates beside those needed.
-WIDE, SAMPLE, SLACK = 4, 64, 12
-SHARES = 1 << 30
+# Candidates beside those needed, rows scored at a time, and of how many hashes a sample is drawn.
+SLACK, BLOCK, SHARES = 8, 256, 1 << 30
+# Rounds of moving two centres, the sampled rows that move them, and the least share of a cell on one side.
+ROUNDS, MOVERS, LEAST_SIDE, DEEPEST = 4, 256, 0.15, 48
 
 
 def usable(column: pa.ListArray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,74 +67,6 @@ def usable(column: pa.ListArray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[good], (values[good] / norm[good, None]).astype(np.float32)
 
 
-def planes(tree: int, size: int, seed: int) -> np.ndarray:
-    """The planes of a tree: orthogonal in blocks of ``size``."""
-    rng = np.random.default_rng([seed, tree])
-    blocks = [np.linalg.qr(rng.standard_normal((size, size)))[0] for _ in range(-(-CODE_BITS // size))]
-    return np.hstack(blocks)[:, :CODE_BITS].astype(np.float32)
-
-
-def codes(vectors: np.ndarray, tree: int, seed: int) -> np.ndarray:
-    """The strings of bits as integers, the first bit highest."""
-    bits = vectors @ planes(tree, vectors.shape[1], seed) > 0
-    return bits @ (np.int64(1) << np.arange(CODE_BITS - 1, -1, -1, dtype=np.int64))
-
-
-def _counts(vectors: DataFrame, size: int, trees: int, seed: int, depth: int, within: list[np.ndarray] | None) -> dict[tuple[int, int], int]:
-    """Vectors of each prefix of ``depth`` bits, of all or only of those whose shorter prefix is listed for the tree."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], int] = {}
-        for b in batches:
-            _, v = usable(b.column(0), size)
-            for t in range(trees):
-                prefix = codes(v, t, seed) >> (CODE_BITS - depth)
-                if within is not None:
-                    prefix = prefix[np.isin(prefix >> within[-1][0], within[t])]
-                for p, n in zip(*np.unique(prefix, return_counts=True)):
-                    sums[t, int(p)] = sums.get((t, int(p)), 0) + int(n)
-        if sums:
-            keys = list(sums)
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in keys], pa.int32()), pa.array([p for _, p in keys], pa.int64()), pa.array([sums[k] for k in keys], pa.int64())], ["tree", "prefix", "n"])
-
-    counted = vectors.mapInArrow(run, "tree int, prefix bigint, n bigint").groupBy("tree", "prefix").agg(F.sum("n").alias("n"))
-    got = counted.toPandas()
-    return dict(zip(zip(got["tree"].tolist(), got["prefix"].tolist()), got["n"].tolist()))
-
-
-def leaf_bounds(vectors: DataFrame, size: int, trees: int, seed: int, leaf: int, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each tree the first codes of its leaves, ascending, and the parts that each leaf is shared out in."""
-    nodes: list[dict[tuple[int, int], int]] = [{} for _ in range(trees)]  # (depth, prefix) -> vectors
-    within, depth, shorter = None, bits, 0
-    while True:
-        counts = _counts(vectors, size, trees, seed, depth, within)
-        full: list[list[int]] = [[] for _ in range(trees)]
-        for t in range(trees):
-            level = {p: n for (x, p), n in counts.items() if x == t}
-            for d in range(depth, shorter, -1):  # siblings that fit together ascend to their parent
-                above: dict[int, int] = {}
-                for p, n in level.items():
-                    above[p >> 1] = above.get(p >> 1, 0) + n
-                for p, n in level.items():
-                    if above[p >> 1] > leaf:
-                        if n > leaf and d == depth < CODE_BITS:
-                            full[t].append(p)
-                        else:
-                            nodes[t][d, p] = n
-                level = {p: n for p, n in above.items() if n <= leaf}
-            nodes[t] |= {(shorter, p): n for p, n in level.items()}  # the root, of a small table
-        if not any(full):
-            break
-        most = max(counts[t, p] for t in range(trees) for p in full[t])
-        shorter, depth = depth, min(CODE_BITS, depth + max(1, min(bits, int(np.ceil(np.log2(most / leaf))) + 1)))
-        within = [np.array(x, dtype=np.int64) for x in full] + [np.array([depth - shorter])]
-    bounds = []
-    for t in range(trees):
-        first = sorted((p << (CODE_BITS - d), n) for (d, p), n in nodes[t].items())
-        bounds.append((np.array([c for c, _ in first], dtype=np.int64), np.array([-(-n // leaf) for _, n in first], dtype=np.int64)))
-    return bounds
-
-
 def packed_bytes(vectors: np.ndarray) -> list[bytes]:
     """Three bytes a value."""
     fractions = np.ascontiguousarray(np.round(vectors * SCALE).astype("<i4"))
@@ -141,146 +81,238 @@ def unpacked(values: list[bytes], size: int) -> np.ndarray:
     return v / np.sqrt((v**2).sum(1))[:, None]
 
 
-def halves(sample: np.ndarray, cells: int, rng: np.random.Generator, first: int = 0) -> tuple:
-    """A node cut into about ``cells`` groups: ``(first group, groups)`` or ``(mean, plane, bound, left, right)``."""
-    if cells < 2 or len(sample) < 2:
-        return first, 1
-    mean = sample.mean(0)
-    apart = sample - mean
-    plane = rng.standard_normal(len(sample)) @ apart  # drawn with the node's own covariance
-    side = apart @ plane
-    values = np.unique(side)
-    if values[-1] - values[0] <= 1e-9 * float(np.sqrt((plane**2).sum())):  # as close as the fractions are
-        return first, cells
-    bound = min(np.quantile(side, (cells // 2) / cells, method="lower"), values[-2])
-    left = side <= bound
-    mine = min(cells - 1, max(1, round(cells * left.mean())))
-    return mean, plane, bound, halves(sample[left], mine, rng, first), halves(sample[~left], cells - mine, rng, first + mine)
-
-
-def group_of(node: tuple, vectors: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """The group of each vector in a node that ``halves`` has cut."""
-    if len(node) == 2:
-        return node[0] + share % node[1]
-    mean, plane, bound, left, right = node
-    out, low = np.zeros(len(vectors), np.int64), (vectors - mean) @ plane <= bound
-    for side, below in ((low, left), (~low, right)):
-        if side.any():
-            out[side] = group_of(below, vectors[side], share[side])
+class Tree:
+    """The hash of one tree: which plane each prefix asks, and the planes that every cell asks afterwards."""
+
+    def __init__(self, sample: np.ndarray, cell: int, rng: np.random.Generator) -> None:
+        size = sample.shape[1]
+        self.planes, self.bounds, self.children, self.middles = [], [], [], []
+        x = sample.astype(np.float32)
+        open_cells = [(np.arange(len(x)), 0, None, 0)]  # rows, depth, parent, side
+        while open_cells:
+            rows, depth, parent, side = open_cells.pop()
+            cut = self._cut(x[rows], rng) if len(rows) >= 2 * cell and depth < DEEPEST else None
+            if cut is None:
+                self.middles.append(x[rows].mean(0) if len(rows) else np.zeros(size, np.float32))
+                here = -len(self.middles)
+            else:
+                here = len(self.planes)
+                self.planes.append(cut[0])
+                self.bounds.append(cut[1])
+                self.children.append([0, 0])
+                right = x[rows] @ cut[0] > cut[1]
+                open_cells += [(rows[right], depth + 1, here, 1), (rows[~right], depth + 1, here, 0)]
+            if parent is not None:
+                self.children[parent][side] = here
+        self.planes = np.array(self.planes, np.float32).reshape(-1, size)
+        self.bounds = np.array(self.bounds, np.float32)
+        self.children = np.array(self.children, np.int64).reshape(-1, 2)
+        self.middles = np.array(self.middles, np.float32)
+        blocks = [np.linalg.qr(rng.standard_normal((size, size)))[0] for _ in range(-(-CODE_BITS // size))]
+        self.rest = np.hstack(blocks)[:, :CODE_BITS].astype(np.float32)
+
+    @staticmethod
+    def _cut(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, float] | None:
+        """The plane between two centres of these rows, or none if the rows are equal."""
+        movers = x if len(x) <= MOVERS else x[rng.choice(len(x), MOVERS, replace=False)]
+        a = movers[rng.integers(len(movers))]
+        others = np.flatnonzero(((movers - a) ** 2).sum(1) > 1e-12)
+        if not len(others):
+            return None
+        b = movers[rng.choice(others)]
+        for _ in range(ROUNDS):
+            near = movers @ (a - b) > (a @ a - b @ b) / 2
+            if near.all() or not near.any():
+                break
+            a, b = movers[near].mean(0), movers[~near].mean(0)
+        plane = a - b
+        side = x @ plane
+        bound = (a @ a - b @ b) / 2
+        if not LEAST_SIDE <= (side > bound).mean() <= 1 - LEAST_SIDE:
+            bound = np.median(side)
+        return (plane, float(bound)) if (side > bound).any() and (side <= bound).any() else None
+
+    def codes(self, vectors: np.ndarray) -> np.ndarray:
+        """The strings of bits as integers, the first bit highest."""
+        n = len(vectors)
+        node, code, depth = np.full(n, 0 if len(self.planes) else -1), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        live = np.arange(n) if len(self.planes) else np.zeros(0, np.int64)
+        while len(live):
+            at = node[live]
+            bit = np.einsum("ij,ij->i", vectors[live], self.planes[at]) > self.bounds[at]
+            code[live] = code[live] << 1 | bit
+            depth[live] += 1
+            node[live] = self.children[at, bit.astype(np.int64)]
+            live = live[node[live] >= 0]
+        rest = (vectors - self.middles[-node - 1]) @ self.rest > 0
+        tail = rest @ (np.int64(1) << np.arange(CODE_BITS - 1, -1, -1, dtype=np.int64))
+        return code << (CODE_BITS - depth) | tail >> depth
+
+
+def tie(share: np.ndarray, tree: int) -> np.ndarray:
+    """The order of equal strings, another one in each tree."""
+    return (share * np.int64(2 * tree + 0x9E3779B1) >> 11) & (SHARES - 1)
+
+
+def fitted(table: DataFrame, key: str, vector: str, size: int, trees: int, sample: int, cell: int, slices: int, rows: int, seed: int) -> list[tuple[Tree, np.ndarray, np.ndarray]]:
+    """The trees, each with the first strings and ties of its slices; learnt in one task a tree."""
+    spark = table.sparkSession
+    share = F.pmod(F.xxhash64(key), F.lit(SHARES))
+    chosen = table.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & (share < int(min(1.0, sample / max(1, rows)) * SHARES))).select(share.alias("share"), F.col(vector).alias("v"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, v = usable(b.column(1), size)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(packed_bytes(v), pa.binary())], ["share", "v"])
+
+    held = chosen.mapInArrow(pack, "share bigint, v binary").distinct().toPandas().sort_values(["share", "v"])  # about `sample` rows
+    vectors = unpacked(held["v"].tolist(), size).astype(np.float32) if len(held) else np.zeros((0, size), np.float32)
+    known = spark.sparkContext.broadcast((vectors, held["share"].to_numpy(np.int64)))
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        x, shares = known.value
+        for b in batches:
+            made = []
+            for t in b["id"].tolist():
+                tree = Tree(x, cell, np.random.default_rng([seed, t]))
+                code, late = tree.codes(x), tie(shares, t)
+                order = np.lexsort((late, code))
+                first = order[[len(x) * s // slices for s in range(1, slices)]] if len(x) else order
+                made.append(pickle.dumps((tree, code[first], late[first])))
+            yield pd.DataFrame({"tree": b["id"], "made": made})
+
+    got = spark.range(0, trees, 1, trees).mapInPandas(fit, "tree bigint, made binary").toPandas().sort_values("tree")
+    return [pickle.loads(bytes(x)) for x in got["made"]]
+
+
+def slice_of(code: np.ndarray, late: np.ndarray, first_code: np.ndarray, first_late: np.ndarray) -> np.ndarray:
+    """The slice of each string: how many slices' firsts are not after it."""
+    low, high = np.searchsorted(first_code, code, "left"), np.searchsorted(first_code, code, "right")
+    out = low.astype(np.int64)
+    for i in np.flatnonzero(high > low).tolist():  # strings that several slices may share
+        out[i] = low[i] + np.searchsorted(first_late[low[i] : high[i]], late[i], "right")
     return out
 
 
-def cuts(once: DataFrame, bounds: list[tuple[np.ndarray, np.ndarray]], size: int, seed: int, leaf: int) -> list[dict[int, tuple]]:
-    """For each tree the cuts of the nodes that are too full for one group, from one sample of all rows."""
-    if not any((parts > WIDE).any() for _, parts in bounds):
-        return [{} for _ in bounds]
-    rate = min(1.0, SAMPLE / (WIDE * leaf))
-    rows = once.where(F.col("share") < int(rate * SHARES)).select("v", "share").toPandas().sort_values("share")
-    if not len(rows):
-        return [{} for _ in bounds]
-    sample = unpacked(rows["v"].tolist(), size)
-    out = []
-    for t, (first, parts) in enumerate(bounds):
-        at = leaves(first, sample, t, seed) if len(first) else np.zeros(0, np.int64)
-        mine = {}
-        for x in np.flatnonzero(parts > WIDE).tolist():
-            inside = sample[at == x]
-            mine[x] = halves(inside, int(np.ceil(len(inside) / SAMPLE)) if rate < 1 else int(np.ceil(len(inside) / (WIDE * leaf))), np.random.default_rng([seed, t, x]))
-        out.append(mine)
+def shared_counts(codes: np.ndarray, window: int) -> np.ndarray:
+    """How many of the ``window`` strings either way share 1, 2, ... bits with each string of a sorted array."""
+    n = len(codes)
+    apart = codes[1:] ^ codes[:-1]
+    bits = CODE_BITS - np.frexp((apart & ~(apart >> 1)).astype(np.float64))[1]  # thinned out, so that none is rounded up
+    place = np.arange(n)
+    out = np.empty((n, CODE_BITS), np.uint16)
+    for d in range(1, CODE_BITS + 1):
+        breaks = np.flatnonzero(bits < d)  # between a row and the next one
+        k = np.searchsorted(breaks, place)  # breaks before each row
+        before = np.r_[-1, breaks][k]
+        after = np.r_[breaks, n - 1][k]
+        out[:, d - 1] = np.minimum(place - before - 1, window) + np.minimum(after - place, window)
     return out
 
 
-def leaves(first: np.ndarray, vectors: np.ndarray, tree: int, seed: int) -> np.ndarray:
-    return np.maximum(np.searchsorted(first, codes(vectors.astype(np.float32), tree, seed), "right") - 1, 0)
+def stop_depth(counts: list[bytes], candidates: int) -> int:
+    """The depth at which the ascent in all trees at once has met ``candidates`` vectors; 0 is the roots."""
+    total = np.frombuffer(b"".join(counts), np.uint16).reshape(-1, CODE_BITS).sum(0, dtype=np.int64)
+    return int((total >= candidates).sum())
 
 
-def nearest(v: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``row, other, cosine`` of the k best others of at least ``least`` for each of these unit vectors, which are in the order of their keys."""
-    _, copy = np.unique(v.view(f"V{v.itemsize * v.shape[1]}")[:, 0], return_inverse=True)
-    order = np.argsort(copy, kind="stable")
-    starts = np.flatnonzero(np.r_[True, np.diff(copy[order]) > 0])
-    place = np.empty(len(v), np.int64)
-    place[order] = np.arange(len(v)) - np.repeat(starts, np.diff(np.r_[starts, len(v)]))
-    able = np.flatnonzero(place <= k)  # of equal vectors the k + 1 first stand for all
-    asked = order[starts]
-    centred = (v - v.mean(0)).astype(np.float32)
+def best_of(block: slice, v: np.ndarray, code: np.ndarray, stop: np.ndarray, key_id: np.ndarray, window: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``row, other, cosine``: the best k of the strings around each row of the block that share its prefix."""
+    low, high = max(0, block.start - window), min(len(v), block.stop + window)
+    asked, around = np.arange(block.start, block.stop), np.arange(low, high)
+    near = v[around]
+    centred = (near - near.mean(0)).astype(np.float32)
     half = (centred.astype(np.float64) ** 2).sum(1).astype(np.float32) / 2
-    near, take = centred[able].T, min(len(able), k + 1 + SLACK)
-    tile = max(16, (1 << 21) // len(able))
-    rows: list[np.ndarray] = []
-    others: list[np.ndarray] = []
-    scores: list[np.ndarray] = []
-    for at in range(0, len(asked), tile):
-        mine = asked[at : at + tile]
-        s = centred[mine] @ near
-        s -= half[able]
-        s -= half[mine, None]  # the cosine less one
-        if least > -1:
-            held = (s >= least - 1 - 1e-5).sum(1) > (place[able] == 0)[np.searchsorted(able, mine)]
-            mine, s = mine[held], s[held]
-            if not len(mine):
-                continue
-        top = able[np.argpartition(s, len(able) - take, axis=1)[:, len(able) - take :]] if take < len(able) else np.tile(able, (len(mine), 1))
-        top.sort(axis=1)
-        cosine = 1 - ((v[mine][:, None] - v[top]) ** 2).sum(2) / 2
-        best = np.argsort(-cosine, axis=1, kind="stable")[:, : k + 1]
-        rows.append(mine)
-        others.append(np.take_along_axis(top, best, 1))
-        scores.append(np.take_along_axis(cosine, best, 1))
-    if not rows:
+    mine = asked - low
+    s = centred[mine] @ centred.T
+    s -= half
+    s -= half[mine, None]  # the cosine less one
+    s[(code[asked][:, None] ^ code[around]) >> (CODE_BITS - stop[asked])[:, None] != 0] = -np.inf
+    s[np.arange(len(asked)), mine] = -np.inf
+    if least > -1:
+        held = (s >= least - 1 - 1e-5).any(1)
+        mine, asked, s = mine[held], asked[held], s[held]
+    take = min(s.shape[1], k + SLACK)
+    if not len(mine) or not take:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    asked, other, cosine = np.concatenate(rows), np.concatenate(others), np.concatenate(scores)
-    where = np.full(len(starts), -1)
-    where[copy[asked]] = np.arange(len(asked))
-    row = np.flatnonzero(where[copy] >= 0)  # every copy gets the list of the first
-    other, cosine = other[where[copy[row]]], cosine[where[copy[row]]]
-    good = (other != row[:, None]) & (cosine >= least)
-    good &= np.cumsum(good, axis=1) <= k
-    r, c = np.nonzero(good)
-    return row[r], other[r, c], cosine[r, c]
+    top = np.argpartition(s, s.shape[1] - take, axis=1)[:, s.shape[1] - take :]
+    cosine = 1 - ((near[mine][:, None] - near[top]) ** 2).sum(2) / 2
+    cosine[np.take_along_axis(s, top, 1) == -np.inf] = -np.inf
+    order = np.lexsort((key_id[low + top], -cosine), axis=1)[:, :k]
+    other, cosine = low + np.take_along_axis(top, order, 1), np.take_along_axis(cosine, order, 1)
+    r, c = np.nonzero(cosine >= least)
+    return asked[r], other[r, c], cosine[r, c]
+
+
+def _streamed(batches: Iterator[pa.RecordBatch], margin: int) -> Iterator[tuple[pa.Table, int, int]]:
+    """The rows of a partition in pieces: a table with up to ``margin`` rows on either side of the piece, and where the piece begins and ends in it."""
+    held, done, piece = None, 0, 16 * BLOCK + margin
+    for b in batches:
+        held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        if held.num_rows - done >= piece + margin:
+            end = held.num_rows - margin
+            yield held.combine_chunks(), done, end
+            keep = max(0, end - margin)
+            held, done = held.slice(keep), end - keep
+    if held is not None and held.num_rows > done:
+        yield held.combine_chunks(), done, held.num_rows
 
 
 def most_similar(
-    table: DataFrame, key: str, vector: str, size: int, k: int = 5, least: float = -1.0, trees: int = 14, leaf: int = 4096, bits: int = 12, seed: int = 11
+    table: DataFrame, key: str, vector: str, size: int, k: int = 5, least: float = -1.0, trees: int = 14, candidates: int = 3000, window: int = 256, sample: int = 16_384, cell: int = 8, rows: int = 100_000, seed: int = 11
 ) -> DataFrame:
     """``key, neighbour, similarity, rank``: for every usable vector the k most similar others of at least ``least`` cosine."""
-    vectors = table.select(F.col(vector).alias("v"))
-    leaf = max(leaf, -(-8 * trees * table.count() // CELLS))
-    bounds = leaf_bounds(vectors, size, trees, seed, leaf, bits)
+    count = table.count()
+    slices = max(1, -(-count // rows))
+    forest = table.sparkSession.sparkContext.broadcast(fitted(table, key, vector, size, trees, sample, cell, slices, count, seed))
     kind = dict(table.dtypes)[key]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, v = usable(b.column(1), size)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(packed_bytes(v), pa.binary())], ["key", "v"])
+            at, v = usable(b.column(1), size)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(packed_bytes(v), pa.binary())], ["key", "v"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row once a tree, with its slice, its string, its tie and all columns but the share, which is the first."""
+        for b in batches:
+            v = unpacked(b.column("v").to_pylist(), size).astype(np.float32) if b.num_rows else np.zeros((0, size), np.float32)
+            share = b.column("share").to_numpy()
+            for t, (tree, first_code, first_late) in enumerate(forest.value):
+                code, late = tree.codes(v), tie(share, t)
+                place = t * slices + slice_of(code, late, first_code, first_late)
+                carried = [n for n in b.schema.names if n != "share" and (n != "v" or "stop" in b.schema.names)]
+                yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(code), pa.array(late.astype(np.int32)), *map(b.column, carried)], ["slice", "code", "late", *carried])
+
+    def count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, begin, end in _streamed(batches, window):
+            counts = shared_counts(held.column("code").to_numpy(), window)[begin:end]
+            yield pa.RecordBatch.from_arrays([held.column("key").combine_chunks().slice(begin, end - begin), pa.array([x.tobytes() for x in counts], pa.binary())], ["key", "counts"])
+
+    def ascend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = unpacked(b.column(1).to_pylist(), size)
-            share = b.column(2).to_numpy()
-            for t, (first, _) in enumerate(bounds):
-                if not len(first):
-                    continue
-                at = leaves(first, v, t, seed)
-                part = np.zeros(len(v), np.int64)
-                for x in full[t].keys() & set(at.tolist()):
-                    rows = np.flatnonzero(at == x)
-                    part[rows] = group_of(full[t][x], v[rows], share[rows] * (2 * t + 3) >> 7)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t, np.int32)), pa.array(at.astype(np.int64)), pa.array(part.astype(np.int32)), b.column(0), b.column(1)], ["tree", "leaf", "part", "key", "v"])
-
-    def best(group: pa.Table) -> pa.Table:
-        group = group.sort_by("key").combine_chunks()
-        keys = group.column("key")
-        i, j, c = nearest(unpacked(group.column("v").to_pylist(), size), k, least)
-        return pa.table([keys.take(pa.array(i)), keys.take(pa.array(j)), pa.array(c, pa.float64())], ["key", "neighbour", "similarity"])
-
-    packed = table.select(F.col(key).alias("key"), F.col(vector).alias("v")).where(F.col("key").isNotNull()).mapInArrow(pack, f"key {kind}, v binary")
-    once = packed.dropDuplicates(["key"]).withColumn("share", F.pmod(F.xxhash64("key"), F.lit(SHARES)).cast("bigint"))
-    full = cuts(once, bounds, size, seed, leaf)
-    placed = once.mapInArrow(spread, f"tree int, leaf bigint, part int, key {kind}, v binary")
-    found = placed.groupBy("tree", "leaf", "part").applyInArrow(best, f"key {kind}, neighbour {kind}, similarity double")
-    ranked = found.groupBy("key").agg(F.array_sort(F.collect_set(F.struct((-F.col("similarity")).alias("d"), "neighbour"))).alias("all"))  # at most k a tree
-    firsts = F.filter("all", lambda x, i: ~F.exists(F.slice("all", F.lit(1), i), lambda y: y["neighbour"] == x["neighbour"]))
-    return ranked.select("key", F.posexplode(F.slice(firsts, 1, k)).alias("rank", "x")).select(
-        F.col("key").alias(key), F.col("x.neighbour").alias("neighbour"), F.round(-F.col("x.d"), 5).alias("similarity"), (F.col("rank") + 1).alias("rank")
-    )
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([stop_depth(x, candidates) for x in b.column(1).to_pylist()], pa.int32())], ["stop_key", "stop"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, begin, end in _streamed(batches, window):
+            keys = held.column("key").combine_chunks()
+            v, code, stop = unpacked(held.column("v").to_pylist(), size), held.column("code").to_numpy(), held.column("stop").to_numpy().astype(np.int64)
+            key_id = keys.dictionary_encode().indices.to_numpy() if not pa.types.is_integer(keys.type) else keys.to_numpy()
+            for at in range(begin, end, BLOCK):
+                i, j, c = best_of(slice(at, min(end, at + BLOCK)), v, code, stop, key_id, window, k, least)
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(i)), keys.take(pa.array(j)), pa.array(c, pa.float64())], ["key", "neighbour", "similarity"])
+
+    packed = table.select(F.col(key).alias("key"), F.col(vector).alias("v")).where(F.col("key").isNotNull() & F.col("v").isNotNull()).mapInArrow(pack, f"key {kind}, v binary")
+    once = packed.groupBy("key").agg(F.min("v").alias("v")).select(F.pmod(F.xxhash64("key"), F.lit(SHARES)).alias("share"), "key", "v")
+    array = "slice int, code bigint, late int"
+
+    def sorted_slices(placed: DataFrame) -> DataFrame:
+        return placed.repartitionById(trees * slices, "slice").sortWithinPartitions("slice", "code", "late", "key")
+
+    strings = sorted_slices(once.mapInArrow(spread, f"{array}, key {kind}"))
+    counts = strings.mapInArrow(count_shared, f"key {kind}, counts binary").groupBy("key").agg(F.collect_list("counts").alias("counts"))  # one a tree
+    stops = counts.mapInArrow(ascend, f"stop_key {kind}, stop int")
+    going = once.join(stops, F.col("key") == F.col("stop_key")).select("share", "key", "stop", "v")
+    found = sorted_slices(going.mapInArrow(spread, f"{array}, key {kind}, stop int, v binary")).mapInArrow(score, f"key {kind}, neighbour {kind}, similarity double")
+    merged = found.repartition("key").groupBy("key", "neighbour").agg(F.max("similarity").alias("similarity"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("similarity"), "neighbour"))
+    return merged.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("key").alias(key), "neighbour", F.round("similarity", 5).alias("similarity"), "rank")
