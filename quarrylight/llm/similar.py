@@ -258,6 +258,18 @@ def _streamed(batches: Iterator[pa.RecordBatch], margin: int) -> Iterator[tuple[
         yield held.combine_chunks(), done, held.num_rows
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A sorted partition without the rows that repeat the one before."""
+    before = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        code, late, keys = b.column("code").to_numpy(), b.column("late").to_numpy(), np.array(b.column("key").to_pylist(), dtype=object)
+        again = np.r_[before == (code[0], late[0], keys[0]), (code[1:] == code[:-1]) & (late[1:] == late[:-1]) & (keys[1:] == keys[:-1])]
+        before = code[-1], late[-1], keys[-1]
+        yield b.filter(pa.array(~again.astype(bool)))
+
+
 def most_similar(
     table: DataFrame, key: str, vector: str, size: int, k: int = 5, least: float = -1.0, trees: int = 14, candidates: int = 3000, window: int = 256, sample: int = 16_384, cell: int = 8, rows: int = 100_000, seed: int = 11
 ) -> DataFrame:
@@ -272,19 +284,26 @@ def most_similar(
             at, v = usable(b.column(1), size)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(packed_bytes(v), pa.binary())], ["key", "v"])
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each row once a tree, with its slice, its string, its tie and all columns but the share, which is the first."""
+    def placed(v: np.ndarray, share: np.ndarray, carried: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+        """Each row once a tree, with its slice, its string and its tie."""
+        for t, (tree, first_code, first_late) in enumerate(forest.value):
+            code, late = tree.codes(v), tie(share, t)
+            place = t * slices + slice_of(code, late, first_code, first_late)
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(code), pa.array(late.astype(np.int32)), *carried.values()], ["slice", "code", "late", *carried])
+
+    def spread_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = unpacked(b.column("v").to_pylist(), size).astype(np.float32) if b.num_rows else np.zeros((0, size), np.float32)
-            share = b.column("share").to_numpy()
-            for t, (tree, first_code, first_late) in enumerate(forest.value):
-                code, late = tree.codes(v), tie(share, t)
-                place = t * slices + slice_of(code, late, first_code, first_late)
-                carried = [n for n in b.schema.names if n != "share" and (n != "v" or "stop" in b.schema.names)]
-                yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(code), pa.array(late.astype(np.int32)), *map(b.column, carried)], ["slice", "code", "late", *carried])
+            at, v = usable(b.column("v"), size)
+            v = unpacked(packed_bytes(v), size).astype(np.float32)
+            yield from placed(v, b.column("share").to_numpy()[at], {"key": b.column("key").take(pa.array(at))})
+
+    def spread_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = unpacked(b.column("v").to_pylist(), size).astype(np.float32)
+            yield from placed(v, b.column("share").to_numpy(), {n: b.column(n) for n in ("key", "stop", "v")})
 
     def count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held, begin, end in _streamed(batches, window):
+        for held, begin, end in _streamed(_once(batches), window):
             counts = shared_counts(held.column("code").to_numpy(), window)[begin:end]
             yield pa.RecordBatch.from_arrays([held.column("key").combine_chunks().slice(begin, end - begin), pa.array([x.tobytes() for x in counts], pa.binary())], ["key", "counts"])
 
@@ -301,18 +320,19 @@ def most_similar(
                 i, j, c = best_of(slice(at, min(end, at + BLOCK)), v, code, stop, key_id, window, k, least)
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(i)), keys.take(pa.array(j)), pa.array(c, pa.float64())], ["key", "neighbour", "similarity"])
 
-    packed = table.select(F.col(key).alias("key"), F.col(vector).alias("v")).where(F.col("key").isNotNull() & F.col("v").isNotNull()).mapInArrow(pack, f"key {kind}, v binary")
-    once = packed.groupBy("key").agg(F.min("v").alias("v")).select(F.pmod(F.xxhash64("key"), F.lit(SHARES)).alias("share"), "key", "v")
+    share = F.pmod(F.xxhash64("key"), F.lit(SHARES)).alias("share")
+    asked = table.select(F.col(key).alias("key"), F.col(vector).alias("v")).where(F.col("key").isNotNull() & F.col("v").isNotNull())
     array = "slice int, code bigint, late int"
 
-    def sorted_slices(placed: DataFrame) -> DataFrame:
-        return placed.repartitionById(trees * slices, "slice").sortWithinPartitions("slice", "code", "late", "key")
+    def sorted_slices(strings: DataFrame) -> DataFrame:
+        return strings.repartitionById(trees * slices, "slice").sortWithinPartitions("slice", "code", "late", "key")
 
-    strings = sorted_slices(once.mapInArrow(spread, f"{array}, key {kind}"))
+    strings = sorted_slices(asked.select(share, "key", "v").mapInArrow(spread_strings, f"{array}, key {kind}"))
     counts = strings.mapInArrow(count_shared, f"key {kind}, counts binary").groupBy("key").agg(F.collect_list("counts").alias("counts"))  # one a tree
     stops = counts.mapInArrow(ascend, f"stop_key {kind}, stop int")
-    going = once.join(stops, F.col("key") == F.col("stop_key")).select("share", "key", "stop", "v")
-    found = sorted_slices(going.mapInArrow(spread, f"{array}, key {kind}, stop int, v binary")).mapInArrow(score, f"key {kind}, neighbour {kind}, similarity double")
+    once = asked.mapInArrow(pack, f"key {kind}, v binary").groupBy("key").agg(F.min("v").alias("v"))
+    going = once.join(stops, F.col("key") == F.col("stop_key")).select(share, "key", "stop", "v")
+    found = sorted_slices(going.mapInArrow(spread_vectors, f"{array}, key {kind}, stop int, v binary")).mapInArrow(score, f"key {kind}, neighbour {kind}, similarity double")
     merged = found.repartition("key").groupBy("key", "neighbour").agg(F.max("similarity").alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("similarity"), "neighbour"))
     return merged.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("key").alias(key), "neighbour", F.round("similarity", 5).alias("similarity"), "rank")
