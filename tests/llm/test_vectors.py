@@ -51,7 +51,7 @@ def test_recall_of_the_plain_top_five_at_a_twentieth_of_the_pairs(spark):
     if not os.path.exists(CHUNKS):
         pytest.skip("no test data")
     table = spark.read.parquet(CHUNKS)
-    asked = {"trees": 14, "candidates": 600, "window": 64, "sample": 16_384, "cell": 6}
+    asked = {"trees": 12, "candidates": 600, "window": 64, "sample": 16_384, "cell": 6}
     found = similar.most_similar(table, "chunk_id", "embedding", 96, k=5, **asked).toPandas()
     held = table.select("chunk_id", "embedding").dropDuplicates(["chunk_id"]).toPandas().sort_values("chunk_id")
     rows, v = similar.usable(pa.array(held["embedding"].tolist(), pa.list_(pa.float32())), 96)
@@ -72,7 +72,7 @@ def test_recall_of_the_plain_top_five_at_a_twentieth_of_the_pairs(spark):
         counts.append(similar.shared_counts(code[order], asked["window"])[back])
     total = np.sum(counts, axis=0, dtype=np.int64)
     stops = [similar.stop_depth([c[i].tobytes() for c in counts], asked["candidates"]) for i in range(len(v))]
-    assert np.mean([total[i, d - 1] if d else 2 * 64 * 14 for i, d in enumerate(stops)]) < 0.1 * len(v)
+    assert np.mean([total[i, d - 1] if d else 2 * 64 * 12 for i, d in enumerate(stops)]) < 0.1 * len(v)
 
 
 def test_hot_copies_and_empty_table(spark):
