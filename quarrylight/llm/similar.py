@@ -271,7 +271,7 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def most_similar(
-    table: DataFrame, key: str, vector: str, size: int, k: int = 5, least: float = -1.0, trees: int = 12, candidates: int = 3000, window: int = 256, sample: int = 16_384, cell: int = 8, rows: int = 100_000, seed: int = 11
+    table: DataFrame, key: str, vector: str, size: int, k: int = 5, least: float = -1.0, trees: int = 12, candidates: int = 5000, window: int = 384, sample: int = 16_384, cell: int = 8, rows: int = 100_000, seed: int = 11
 ) -> DataFrame:
     """``key, neighbour, similarity, rank``: for every usable vector the k most similar others of at least ``least`` cosine."""
     count = table.count()
