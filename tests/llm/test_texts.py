@@ -122,7 +122,7 @@ def test_alignment(pairs):
     assert [(int(s), int(r)) for s, r in zip(score, run)] == [slow_alignment(a, b) for a, b in pairs]
 
 
-def test_leaks(spark):
+def test_leaks(spark, monkeypatch):
     rng = random.Random(9)
     words = [f"v{i}" for i in range(60)]
     make = lambda n: [rng.choice(words) for _ in range(n)]
@@ -140,13 +140,41 @@ def test_leaks(spark):
     it = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()] + [(50, None), (51, ""), (None, "a b c d e f g h i j k l m"), (3, " ".join(items[3]))], "item_id long, text string")
     runs = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
     want = {(d, i) for d, t in docs.items() for i, w in items.items() if runs(t, 12) & runs(w, 12)}
-    for bound in (2_000_000, 60):
-        got = leakage.leaks(df, it, bound=bound).collect()
+    for hot in (10_000, 0):
+        monkeypatch.setattr(leakage, "HOT", hot)
+        got = leakage.leaks(df, it).collect()
         assert {(r["doc_id"], r["item_id"]) for r in got if r["longest_run"] >= 12} == want and want
         assert all(0 <= r["score"] <= 1 for r in got)
     assert leakage.leaks(df.limit(0), it).count() == 0 and leakage.leaks(df, it.limit(0)).count() == 0
 
 
+def test_long_edited_copies_are_aligned_whole(spark):
+    rng = random.Random(12)
+    item = [f"q{rng.randrange(5000)}" for _ in range(400)]
+    copy = item[:20] + [w if i % 4 else f"z{i}" for i, w in enumerate(item[20:380])] + item[380:]
+    other = [f"y{i}" for i in range(900)]
+    docs = {1: other[:300] + copy + other[300:], 2: other[:50] + item[:20] + other[50:700] + item[380:] + other[700:], 3: other}
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string")
+    it = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in leakage.leaks(df, it).collect()}
+    for d in (1, 2):
+        whole, _ = leakage.align([leakage.word_hashes(" ".join(docs[d]))], [leakage.word_hashes(" ".join(item))])
+        assert got[d] == pytest.approx(whole[0] / (2 * len(item)), abs=1e-9)
+    assert got[1] > 0.6 and 3 not in got
+
+
+def test_spans_reach_every_alignment_through_a_seed():
+    assert leakage.spans([(100, 10), (130, 40)], 50) == [(10, 220)]
+    assert leakage.spans([(0, 0), (5000, 0)], 10) == [(0, 30), (5000, 5030)]
+
+
+def test_bit_filter(spark):
+    values = np.random.default_rng(3).integers(-(2**63), 2**63 - 1, 3000)
+    held = leakage.bit_filter(spark.createDataFrame([(int(x),) for x in values[:2000]], "x long"))
+    assert held.has(values[:2000].view(np.uint64)).all() and held.has(values[2000:].view(np.uint64)).mean() < 0.1
+    assert not leakage.bit_filter(spark.createDataFrame([], "x long")).has(values.view(np.uint64)).any()
+
+
 PROSE = "The loader reads every file below the folder and keeps a column for each. When the cache grows past the limit, the oldest entry is dropped before another one comes in, so readers never wait.\n\n"
 STUFFED = ["rust indexer fast rust indexer cheap rust search rust indexer best rust search fast rust indexer " * 6, "Buy rust indexer today, rust indexer cheap, rust indexer fast, rust indexer near you. Looking for rust indexer? Our rust indexer is the best rust indexer for rust indexer. " * 4, "".join(f'<a href="https://x{i}.example/a">rust {w}</a> ' for i, w in enumerate("abcdefghijklmnop")), "".join(f"- [rust {w}](https://x.example/{w})\n" for w in "abcdefghijklmnop"), "".join(f"https://x{i}.example/a/b\n" for i in range(12)), " ".join(f"#tag{i}dev" for i in range(40)), "".join(f"item-{i} 4.{i}/5 ${i}7 [cheap] [rust {w} tool] [fast]\n" for i, w in enumerate("abcdefghijklm"))]
 CLEAN = [PROSE * 3, "", None, "  \n", "```\n" + "x.y(1);\n" * 60 + "```\n", "Index of symbols\n\n" + "".join(f"Cart{i}::total_{i}  shop/cart{i}.rs:{i}7\n" for i in range(30)), "".join(f"- [tool{i}](https://x.example/{i}) - The loader of this one keeps the {w} open until it is done.\n" for i, w in enumerate("abcdefghij")), "# Changelog\n\n" + "".join(f"- The reader now skips the {w} that nobody has asked for. (#{i}12)\n" for i, w in enumerate("abcdefghij")), "Revisamos 12 archivos y cada error se envía a kibelre. Revisamos 2 archivos y cada error se envía a gapol.", "word", "**cache** - Keeps what was read before.\n\n**index** - Maps a name to the files that hold it.\n"]
