@@ -1,15 +1,33 @@
 """Keyword-stuffed and link-list pages.
 
-A text is cut into paragraphs, a paragraph into windows of words.  A window is
-stuffed if its content words recur as no prose repeats them: the positional
-autocorrelation over the lags of the window (how often the word at a lag is the
-same content word) is high.  Links, link anchors and tags are taken as marked
-up; a paragraph of distinct tags or nouns without function words counts too.
-The page is flagged when more than half of its text is of these kinds.
+A text is cut into paragraphs (short ones in a row are one), a paragraph into
+windows of words.  Of the content words that stand at least three times in a
+window three things are measured: how much of the window they are (recurrence),
+how far the gaps from each to the next of its kind differ (spread), and how often
+the word at a lag is the same word, for each lag (positional autocorrelation).
+A window is stuffed
+
+* if most of it recurs, closer than prose repeats itself, or
+* if fewer words recur, but at gaps that hardly differ, so that the
+  autocorrelation has one lag far above the mean of all lags.
+
+The same gaps, without a bound on the lag, are measured over whole long
+paragraphs, for lists of keywords that start again after many words.  Links, link
+anchors and tags are taken as marked up; a paragraph of distinct nouns without
+function words counts too.  The page is flagged when more than half of its text
+is of these kinds.
+
+Languages: recurrence needs no word list.  The noun rule wants words of which
+hardly any is short or a known function word and that are set apart by spaces,
+so prose of a language that is not listed is no list of nouns.
+
+The limits were set on the gap statistics of windows: in running text at most half
+of a window recurs, with a mean correlation below 0.05; pages written for
+keywords have more than 0.08.
 
 One pass of ``mapInPandas``; nothing is shuffled.
 
-Cases: rows with a null key are left out; null and empty texts are not flagged; fenced code, symbol indexes and
+Cases: rows with a null key are left out; null and empty texts are not flagged; closed fences of code, symbol indexes and
 links that a sentence describes count as prose; any length of text is read
 whole.
 """
@@ -27,7 +45,11 @@ from pyspark.sql import functions as F
 
 WINDOW, LAGS = 64, 32
 LEAST_WORDS = 8
-CORRELATION, SPARSE_CORRELATION, PROSE_CORRELATION, SPARSE = 0.035, 0.012, 0.06, 0.10
+# Recurrence of a dense window, of a dense one of few words, and its mean correlation, with few or many function words; the peak, its height over the mean and the spread of a regular one; the recurrence and equal gaps of a list that starts again.
+DENSE, DENSE_FEW, FEW, DENSE_MEAN, DENSE_PROSE = 0.45, 0.28, 24, 0.05, 0.08
+PEAK, OVER_MEAN, SPREAD, PLAIN, AGAIN = 0.12, 4.0, 0.25, 0.10, 0.5
+# Of a list of nouns: distinct words, known function words, and words of up to three letters.
+DISTINCT, KNOWN, SHORT = 0.5, 0.02, 0.12
 LINKED, TAGGED, SYMBOLS, DESCRIBED, SHARE = 0.6, 0.6, 0.3, 0.15, 0.5
 # Function words of the corpus's languages.
 FUNCTION_WORDS = frozenset(
@@ -41,39 +63,84 @@ FUNCTION_WORDS = frozenset(
     ).split()
 )
 _WORD = re.compile(r"[^\W_]+(?:[_'’-][^\W_]+)*")
-_FENCE = re.compile(r"(?s)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)", re.M)
+_FENCE = re.compile(r"(?s)^[ \t]*(```|~~~).*?^[ \t]*\1[^\n]*$", re.M)
 _GAP = re.compile(r"\n[^\S\n]*\n\s*")
 _LINK = re.compile(r"(?s)<a\s[^<>]*href[^<>]*>.*?</a>|!?\[[^\[\]\n]*\]\([^()\s]*\)|\[[^\[\]\n]*\]:\s*\S+|<?https?://[^\s<>()]+>?|www\.[^\s<>()]+")
 _TAG = re.compile(r"(?<![\w#])#[^\W_][\w-]*|\[[^\[\]\n]{1,60}\](?!\()|(?<!\S)[^\W_]+(?:\+[^\W_]+)+(?!\S)")
 _SYMBOL = re.compile(r"\w+::\w+|\w+\(\)|\w+[./\\]\w+\.\w+:\d+|\w+\.\w{1,4}:\d+|\b[a-z]+_[a-z_]+\b")
-_SENTENCE = re.compile(r"[.!?…](?:\s|$)")
+_SENTENCE = re.compile(r"[.!?…](?:\s|$)|[。！？｡।؟]")
+# Scripts that do not set words apart by spaces (Han, kana, Thai, Lao, Khmer, Burmese).
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff]")
 
 
-def lag_profile(words: list[str]) -> np.ndarray:
-    """At lag 1, 2, ...: the share of places whose content word stands again that many words on."""
-    n = len(words)
-    ids: dict[str, int] = {}
-    x = np.fromiter((-k - 1 if w in FUNCTION_WORDS else ids.setdefault(w, len(ids)) for k, w in enumerate(words)), dtype=np.int64, count=n)
+def places_of(words: list[str]) -> list[np.ndarray]:
+    """The places of each content word that stands at least three times."""
+    places: dict[str, list[int]] = {}
+    for i, w in enumerate(words):
+        if w not in FUNCTION_WORDS:
+            places.setdefault(w, []).append(i)
+    return [np.array(p) for p in places.values() if len(p) >= 3]
+
+
+def lag_profile(places: list[np.ndarray], n: int) -> np.ndarray:
+    """At lag 1, 2, ... of ``n`` words: the share of places whose word stands again that many words on."""
+    x = -1 - np.arange(n)
+    for i, p in enumerate(places):
+        x[p] = i
     lags = min(LAGS, n // 2)
     return np.array([(x[lag:] == x[:-lag]).mean() for lag in range(1, lags + 1)]) if lags else np.zeros(1)
 
 
+def gap_spread(places: list[np.ndarray]) -> float:
+    """How far the gaps between equal words differ from their mean, as a share of it; 1 is what chance gives rare words."""
+    gaps = [np.diff(p) for p in places]
+    return float(sum(len(p) * g.std() / g.mean() for p, g in zip(places, gaps)) / sum(map(len, places)))
+
+
 def stuffed_window(words: list[str]) -> bool:
-    """True if content words recur too often and evenly over the lags."""
+    """True if content words recur too much, or too regularly."""
     n = len(words)
-    if n < LEAST_WORDS:
+    if n < LEAST_WORDS or sum(c for c in Counter(words).values() if c >= 3) < PEAK * n:  # no lag can have a higher share
+        return False
+    places = places_of(words)
+    recurring = sum(map(len, places)) / n
+    if recurring < PEAK:
         return False
-    content = [w for w in words if w not in FUNCTION_WORDS]
-    least = SPARSE_CORRELATION * n * (n - 1)
-    again = len(content) - len(set(content))
-    if again * (again + 1) < least:  # even if one word alone recurred
+    profile = lag_profile(places, n)
+    mean, peak = float(profile.mean()), float(profile.max())
+    plain = sum(map(FUNCTION_WORDS.__contains__, words)) / n
+    if recurring >= (DENSE_FEW if n < FEW else DENSE) and mean >= (DENSE_MEAN if plain < 2 * PLAIN else DENSE_PROSE):
+        return True
+    return plain < PLAIN and peak >= max(PEAK, OVER_MEAN * mean) and gap_spread(places) <= SPREAD
+
+
+def starts_again(words: list[str]) -> bool:
+    """True if most of a long paragraph are content words that come back after one and the same number of words."""
+    n = len(words)
+    if n < 2 * WINDOW or sum(map(FUNCTION_WORDS.__contains__, words)) >= PLAIN * n:
         return False
-    counts = Counter(content).values()
-    if max(counts) < 3 or sum(c * (c - 1) for c in counts) < least:  # the mean over all lags; prose ends here
+    places = places_of(words)
+    if sum(map(len, places)) < AGAIN * n:
         return False
-    plain = 1 - len(content) / n
-    limit = SPARSE_CORRELATION if plain < SPARSE else CORRELATION if plain < 2 * SPARSE else PROSE_CORRELATION
-    return float(lag_profile(words).mean()) >= limit
+    return int(np.bincount(np.concatenate([np.diff(p) for p in places])).max()) >= AGAIN * n * 2 / 3  # a word that stands three times has two gaps
+
+
+def noun_list(words: list[str], rest: str) -> bool:
+    """True for a long line of distinct words without sentences, function words or short words, in a script that sets words apart."""
+    n = len(words)
+    if n < 2 * LEAST_WORDS or _SENTENCE.search(rest) or max(map(len, rest.split("\n"))) <= 80 or _UNSPACED.search(rest):
+        return False
+    named = [w for w in words if not w.isdecimal()]
+    short = sum(len(w) <= 3 for w in named)
+    return sum(map(FUNCTION_WORDS.__contains__, words)) <= KNOWN * n and len(set(words)) >= DISTINCT * n and short <= SHORT * n
+
+
+def tagged_lines(rest: str, words: list[str]) -> bool:
+    """True for records of names, numbers and tags, a line each, without sentences."""
+    lines = [x for x in rest.split("\n") if x.strip()]
+    if len(lines) < LEAST_WORDS // 2 or sum(map(FUNCTION_WORDS.__contains__, words)) > KNOWN * len(words):
+        return False
+    return sum(len(_TAG.findall(x)) >= 2 for x in lines) >= 0.8 * len(lines) and sum(map(len, _SYMBOL.findall(rest))) < SYMBOLS * sum(map(len, words))
 
 
 def spam_characters(paragraph: str) -> int:
@@ -89,12 +156,12 @@ def spam_characters(paragraph: str) -> int:
         return size
     if "#" in rest or "[" in rest or "+" in rest:
         tags = _TAG.findall(rest)
-        if len(tags) >= LEAST_WORDS // 2 and sum(map(len, tags)) >= TAGGED * sum(map(len, rest.split())):
+        if len(tags) >= LEAST_WORDS // 2 and (sum(map(len, tags)) >= TAGGED * sum(map(len, rest.split())) or tagged_lines(rest, words)):
             return size
     if n < LEAST_WORDS:
         return links
-    stuffed = sum(len(words[k : k + WINDOW]) for k in range(0, n, WINDOW) if stuffed_window(words[max(0, min(k, n - WINDOW)) : k + WINDOW]))
-    nouns = not stuffed and n >= 2 * LEAST_WORDS and sum(map(FUNCTION_WORDS.__contains__, words)) <= 0.02 * n and not _SENTENCE.search(rest) and max(map(len, rest.split("\n"))) > 80
+    stuffed = n if starts_again(words) else sum(len(words[k : k + WINDOW]) for k in range(0, n, WINDOW) if stuffed_window(words[max(0, min(k, n - WINDOW)) : k + WINDOW]))
+    nouns = not stuffed and noun_list(words, rest)
     if not stuffed and not nouns:
         return 0 if sum(map(FUNCTION_WORDS.__contains__, words)) >= DESCRIBED * n else links  # sentences describe their links
     symbols = sum(map(len, _SYMBOL.findall(rest)))
@@ -103,14 +170,27 @@ def spam_characters(paragraph: str) -> int:
     return size if nouns else round((size - links) * stuffed / n) + links
 
 
+def paragraphs(text: str) -> list[str]:
+    """The paragraphs, those of a few words in a row as one."""
+    out: list[str] = []
+    brief = False
+    for p in map(str.strip, _GAP.split(text)):
+        few = len(p) < 200 and len(p.split()) < LEAST_WORDS and "://" not in p and "[" not in p
+        if few and brief:
+            out[-1] += "\n" + p
+        else:
+            out.append(p)
+        brief = few
+    return out
+
+
 def spam_share(text: str | None) -> float:
     if not text or not text.strip():
         return 0.0
     whole = sum(map(len, text.split())) or 1
     prose = _FENCE.sub("\n\n", text) if "```" in text or "~~~" in text else text
     spam = 0.0
-    for p in _GAP.split(prose):
-        p = p.strip()
+    for p in paragraphs(prose):
         if p:
             got = spam_characters(p)
             if got:

@@ -199,6 +199,37 @@ def test_score_pages(spark):
 
 
 def test_lag_profile():
-    assert stuffing.lag_profile("a b c".split() * 0).tolist() == [0.0]
-    profile = stuffing.lag_profile("rust index the rust index the rust index the rust index the".split())
+    words = "rust index the rust index the rust index the rust index the".split()
+    assert stuffing.lag_profile([], 0).tolist() == [0.0]
+    profile = stuffing.lag_profile(stuffing.places_of(words), len(words))
     assert profile[2] == pytest.approx(6 / 9) and profile[0] == 0
+
+
+def test_regular_and_shuffled_repetition_differ():
+    regular = [("indexer" if i % 6 == 0 else f"term{i}") for i in range(64)]
+    shuffled = regular[:]
+    random.Random(4).shuffle(shuffled)
+    assert stuffing.stuffed_window(regular) and not stuffing.stuffed_window(shuffled)
+    regular, shuffled = (stuffing.places_of(w) for w in (regular, shuffled))
+    assert stuffing.gap_spread(regular) == 0 and stuffing.gap_spread(shuffled) > 0.4
+    assert stuffing.lag_profile(regular, 64).max() > 2 * stuffing.lag_profile(shuffled, 64).max()
+
+
+def test_lists_that_start_again_after_many_words():
+    keywords = " ".join(f"keyword{i}" for i in range(45)) + " "
+    assert stuffing.spam_share(keywords * 6) > 0.9
+    assert stuffing.spam_share("\n\n".join(["cheap rust indexer", "fast rust indexer", "best rust indexer"] * 8)) > 0.9
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "加载器读取文件夹下的每个文件。缓存超过限制时，最旧的条目会被删除。读者从不等待。索引保存名称和位置。搜索先比较向量。结果按分数排序。旧的快照会保留一段时间。下一次更新只读取改变的文件。",
+        "加载器 读取 文件夹 下面 的 每个 文件 然后 保存 所有 的 列 以便 以后 的 搜索 可以 直接 比较 这些 向量 而 不用 重新 读取 原来 的 文本 内容 并且 把 结果 按照 分数 排列 出来 给 用户 查看",
+        "Загрузчик читает каждый файл в папке и хранит столбец для каждого из них, а когда кэш превышает предел, самая старая запись удаляется до того, как появится новая, чтобы читатели никогда не ждали",
+        "Program wczytuje każdy plik z folderu i trzyma dla niego jedną kolumnę, a gdy pamięć przekroczy granicę, najstarszy wpis znika zanim pojawi się nowy, dzięki czemu czytelnicy nigdy nie muszą czekać",
+        "ローダーはフォルダの下にあるすべてのファイルを読み、それぞれに列を保持します。キャッシュが上限を超えると、新しい項目が入る前に最も古い項目が削除されます。読者は決して待ちません。",
+    ],
+)
+def test_prose_of_other_languages(text):
+    assert stuffing.spam_share(text) == 0
