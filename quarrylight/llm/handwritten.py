@@ -1,19 +1,30 @@
 """Generated, minified or vendored source files.
 
-Four kinds of evidence, strongest first:
-
-1. declarations: repository attribute files (``attribute_rules``: globs, the
-   deepest directory and in it the last line win) and registered sources (the
-   first that holds the file wins, ``dep`` marks foreign code);
-2. patterns: directory names and file-name globs that carry such declarations,
-   of either kind, elsewhere (``mined_names``), and conventional directory
-   names, applied to repositories that declare nothing about the file;
-3. notices in the comments before the first token: generated by a tool, or
-   copyright, origin or distribution of another project;
-4. the text itself: minified, data, or lines whose shapes recur at one lag.
-
-Texts are read in one pass (``text_evidence``) and never shuffled; only narrow
-rows are joined, by repository or directory name.
+Five kinds of evidence, strongest first:
+
+1. declarations: repository attribute files (``attribute_rules``: the deepest
+   directory and in it the last line whose glob fits decide, for each mark by
+   itself) and registered sources (the first that holds the file wins, ``dep``
+   marks foreign code);
+2. notices in the comments before the first token, behind leading directives
+   and attributes, or after the last token: generated by a tool, or copyright,
+   origin or distribution of another project;
+3. patterns: names and pairs of directories, file names and globs of their ends
+   that carry such declarations elsewhere (``mined_names``), applied to files
+   that nothing is declared about; conventional directory names serve where the
+   declarations do not speak against them;
+4. copies: files without a notice of their own that are near-duplicates (five
+   words, similarity 0.8) of a file that 1 or 2 found to be foreign;
+5. the text itself: minified, data, or lines whose shapes recur at one lag.
+
+A mark that is unset (``-linguist-vendored``) rules out evidence of its own kind
+only: copies, locations and notices of other projects for vendored, the rest for
+generated.  One that is unspecified (``!linguist-vendored``) takes back less
+precise lines.
+
+Texts are read in one pass for the evidence (``text_evidence``) and one for the
+n-grams of 4; else only narrow rows are joined, by repository and directory or by
+name.
 
 Cases: rows with a null key are left out; null or empty texts are hand-written unless their location says
 otherwise; a null repo or path matches no declaration; repeated rows give
@@ -22,6 +33,7 @@ repeated rows.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -32,7 +44,9 @@ from pyspark.sql import functions as F
 from ..functions.lexing import Tokens
 from ..functions.paths import normal_path
 from ..operators.ownership import with_owner
+from ..plans.lineage import cut
 from .docpairs import clean
+from .neardup import NearDuplicates
 from .parsing import is_rust
 
 # Directory names by convention for code from elsewhere or made by tools.
@@ -58,16 +72,44 @@ DATA_NUMBERS, DATA_STRINGS, DATA_TOKENS, STRING_TOKENS = 0.27, 0.75, 60, 10
 MOST_LAG, RECURRENCE, LEAST_LINES = 8, 0.7, 15
 
 
-def head_comments(tokens: Tokens) -> str:
-    """The text of the comments before the first token; a directive ends them."""
-    out = []
+_SETTING = re.compile(r"""\[+[\w."' -]+\]+\s*|[\w.-]+\s*=\s*[^=\s][^;{]*""")
+
+
+def notice_comments(tokens: Tokens) -> tuple[str, str]:
+    """The comments before the first token, leading directives and inner attributes aside, and those after the last token."""
+    head: list[str] = []
+    foot: list[str] = []
+    depth, begun = 0, False
     for p, c in zip(tokens.parts, tokens.codes):
         p = p.strip()
-        if c or p.startswith("#"):
-            break
-        if p.startswith(("//", "/*")):
-            out.append(clean(p))
-    return "\n".join(out)
+        if c:
+            foot = []
+            if not begun and (depth or p in ("#", "!", "[")):  # #![...]
+                depth += (p == "[") - (p == "]")
+                continue
+            begun = True
+        elif p.startswith(("//", "/*")):
+            (foot if begun else head).append(clean(p))
+    return "\n".join(head), "\n".join(foot)
+
+
+def is_settings(text: str) -> bool:
+    """True for a text that is objects or lists of values, or sections of settings, and no program."""
+    text = text.strip()
+    if text[:1] == "[":
+        lines = [x.strip() for x in text.split("\n") if x.strip() and not x.strip().startswith(("#", ";"))]
+        if len(lines) >= 3 and all(_SETTING.fullmatch(x) for x in lines):
+            return True
+    if text[:1] not in ("{", "["):
+        return False
+    at, read = 0, json.JSONDecoder()
+    try:
+        while at < len(text):
+            _, at = read.raw_decode(text, at)
+            at += len(text[at:]) - len(text[at:].lstrip())
+    except (ValueError, RecursionError):
+        return False
+    return True
 
 
 def line_shapes(text: str) -> list[str]:
@@ -86,24 +128,24 @@ def evidence(path: str | None, text: str, team: list[str]) -> dict:
     """What a file's text says; ``team`` are the names its own notices may bear."""
     tokens = Tokens(text, is_rust(path))
     k, n = tokens.kinds, len(tokens.kinds)
-    head = head_comments(tokens)
+    head, foot = notice_comments(tokens)
     own = any(re.search(rf"(?i)(?<!\w){re.escape(x)}(?!\w)", head) for x in team if x)
     lines = [x for x in text.split("\n") if x.strip()]
     size = sum(map(len, lines)) or 1
     spaces = sum(x.count(" ") + x.count("\t") for x in lines)
     minified = sum(len(x) for x in lines if len(x) > MINIFIED_LINE) / size > MINIFIED_SHARE and spaces / size < MINIFIED_SPACE
-    coded = k[:1] not in ("{", "[")  # an object or a list is no program
+    coded = k[:1] not in ("{", "[")  # no program begins so
     strings = sum(len(p) for p, c in zip(tokens.parts, tokens.codes) if c == "s") / size
-    data = coded and (n >= DATA_TOKENS and (k.count("n") + k.count("s")) / n > DATA_NUMBERS or n >= STRING_TOKENS and k.count("s") > 3 and strings > DATA_STRINGS)
+    data = is_settings(text) if not coded else (n >= DATA_TOKENS and (k.count("n") + k.count("s")) / n > DATA_NUMBERS or n >= STRING_TOKENS and k.count("s") > 3 and strings > DATA_STRINGS)
     closed = sum(x.rstrip().endswith((";", "}", "{", ",", ")")) or x.lstrip().startswith("#") for x in lines)
     repeated = len(lines) >= LEAST_LINES and coded and closed > 0.8 * len(lines) and recurrence(line_shapes(text)) >= RECURRENCE
     return {
-        "generated_notice": bool(_GENERATED.search(head)), "foreign_notice": bool(_FOREIGN.search(head)) and not own,
+        "generated_notice": bool(_GENERATED.search(head) or _GENERATED.search(foot)), "foreign_notice": bool(_FOREIGN.search(head)) and not own, "own_notice": own,
         "minified": minified and coded, "data": data, "repeated": repeated,
     }
 
 
-_EVIDENCE = ("generated_notice", "foreign_notice", "minified", "data", "repeated")
+_EVIDENCE = ("generated_notice", "foreign_notice", "own_notice", "minified", "data", "repeated")
 
 
 def text_evidence(files: DataFrame, key: str = "file_id", repo: str = "repo", path: str = "file_path", text: str = "file_text") -> DataFrame:
@@ -118,85 +160,142 @@ def text_evidence(files: DataFrame, key: str = "file_id", repo: str = "repo", pa
     return files.select(F.col(key).alias("k"), F.col(repo).alias("r"), F.col(path).alias("p"), F.col(text).alias("t")).where(F.col("k").isNotNull()).mapInPandas(run, schema)
 
 
-def glob_pattern(glob: Column) -> Column:
-    """A glob of an attribute file as a regular expression over the path below its directory."""
-    g = F.regexp_replace(glob, r"([.+^$(){}|\[\]\\])", r"\\$1")
-    anchored = F.regexp_replace(g, r"^/", "")
-    g = F.when(g.contains("/"), anchored).otherwise(F.concat(F.lit("**/"), g))
-    g = F.regexp_replace(g, r"\*\*/", "\u0001")
-    g = F.regexp_replace(g, r"/?\*\*", "\u0002")
-    g = F.regexp_replace(g, r"\*", "[^/]*")
-    g = F.regexp_replace(g, r"\?", "[^/]")
-    g = F.regexp_replace(g, "\u0001", "(?:.*/)?")
-    g = F.regexp_replace(g, "\u0002", "(?:/?.*)?")
-    return F.concat(F.lit("^"), g, F.lit("$"))
+def glob_regex(glob: str) -> str | None:
+    """A glob of an attribute file as a regular expression over the path below its directory; None if it fits no file."""
+    if not glob or glob.startswith("!") or glob.endswith("/"):
+        return None
+    body = glob[1:] if glob.startswith("/") else glob if "/" in glob else "**/" + glob
+    out, i = [], 0
+    while i < len(body):
+        c = body[i]
+        if body.startswith("**/", i) and (i == 0 or body[i - 1] == "/"):
+            out.append("(?:[^/]+/)*")
+            i += 3
+        elif body.startswith("**", i) and i + 2 == len(body) and (i == 0 or body[i - 1] == "/"):
+            out.append(".+")
+            i += 2
+        elif c == "*":
+            out.append("[^/]*")
+            i += 1
+        elif c == "?":
+            out.append("[^/]")
+            i += 1
+        elif c == "[" and (end := body.find("]", i + 3 if body[i + 1 : i + 2] in ("!", "^") else i + 2)) > 0:
+            inside = body[i + 1 : end]
+            no = inside[:1] in ("!", "^")
+            inside = re.sub(r"([\\\[\]&^])", r"\\\1", inside[no:])
+            out.append(f"(?!/)[{'^' if no else ''}{inside}]")
+            i = end + 1
+        else:
+            c = body[i + 1 : i + 2] if c == "\\" else c
+            i += 1 + (body[i] == "\\")
+            out.append(re.sub(r"(\W)", r"\\\1", c) if c.isascii() else c)
+    return "".join(out)
+
+
+_LINE = re.compile(r'\s*(?:"((?:[^"\\]|\\.)*)"|(\S+))(.*)')
+_MARK = re.compile(r"(?<!\S)([-!]?)linguist-(generated|vendored)(?:=(\S*))?(?!\S)")
 
 
 def attribute_rules(files: DataFrame, repo: str = "repo", path: str = "file_path", text: str = "file_text") -> DataFrame:
-    """The generated and vendored marks of the attribute files among ``files``: ``repo, dir, depth, line, pattern, mark, value``."""
+    """The generated and vendored marks of the attribute files among ``files``: ``repo, dir, line, pattern, mark, value``; a null value takes the mark back."""
     p = normal_path(F.col(path))
     lines = (
-        files.where(F.regexp_extract(p, r"([^/]*)$", 1) == ".gitattributes")
+        files.where((F.regexp_extract(p, r"([^/]*)$", 1) == ".gitattributes") & F.col(repo).isNotNull())
         .select(F.col(repo).alias("repo"), F.regexp_replace(p, r"/?[^/]*$", "").alias("dir"), F.posexplode(F.split(F.col(text), r"\r?\n")).alias("line", "body"))
-        .where(~F.col("body").rlike(r"^\s*(#|$)"))
+        .where(F.col("body").contains("linguist-") & ~F.col("body").rlike(r"^\s*#"))
     )
-    words = lines.withColumn("words", F.split(F.trim("body"), r"\s+")).select("repo", "dir", "line", F.element_at("words", 1).alias("glob"), F.explode(F.slice("words", F.lit(2), F.size("words"))).alias("word"))
-    mark = F.regexp_extract("word", r"^[-!]?linguist-(generated|vendored)(?:=|$)", 1)
-    return words.where(mark != "").select(
-        "repo", "dir", F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/"))).alias("depth"), "line",
-        glob_pattern(F.col("glob")).alias("pattern"), mark.alias("mark"), (~F.col("word").rlike(r"^[-!]|=(?i:false)$")).alias("value"),
-    )
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r, d, n, body in zip(b["repo"], b["dir"], b["line"], b["body"]):
+                quoted, plain, marks = _LINE.fullmatch(body).groups()
+                pattern = glob_regex(quoted if quoted is not None else plain)
+                if pattern is not None:
+                    rows += [(r, d, n, pattern, mark, None if sign == "!" else sign != "-" and value.lower() != "false") for sign, mark, value in _MARK.findall(marks)]
+            yield pd.DataFrame(rows, columns=["repo", "dir", "line", "pattern", "mark", "value"]).astype({"value": object})
+
+    return lines.mapInPandas(parse, "repo string, dir string, line int, pattern string, mark string, value boolean")
 
 
 def declared_by_attributes(paths: DataFrame, rules: DataFrame, key: str) -> DataFrame:
-    """``key, declared`` for the files that an attribute line speaks of: the deepest directory, then the last line decides, for each mark."""
-    p = normal_path(F.col("path"))
-    j = paths.select(key, F.col("repo").alias("__repo"), p.alias("__path")).join(rules, F.col("__repo") == F.col("repo"))
+    """``key, generated, vendored`` for the files that attribute lines speak of.
+
+    A path meets the rules of the directories above it only, by equality, and all
+    those of a directory in one row.
+    """
+    parts = F.split(normal_path(F.col("path")), "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    asked = paths.where(F.col("repo").isNotNull() & F.col("path").isNotNull()).select(key, F.col("repo").alias("__repo"), normal_path(F.col("path")).alias("__path"), F.posexplode(above).alias("depth", "__dir"))
+    lines = rules.groupBy("repo", "dir", "mark").agg(F.reverse(F.array_sort(F.collect_list(F.struct("line", "pattern", "value")))).alias("lines"))
+    j = asked.join(lines, (F.col("__repo") == F.col("repo")) & (F.col("__dir") == F.col("dir")))
     below = F.when(F.col("dir") == "", F.col("__path")).otherwise(F.substr("__path", F.length("dir") + 2))
-    j = j.where(((F.col("dir") == "") | F.col("__path").startswith(F.concat("dir", F.lit("/")))) & F.regexp_like(below, F.col("pattern")))
-    marks = j.groupBy(key, "mark").agg(F.max_by("value", F.struct("depth", "line")).alias("value"))
-    return marks.groupBy(key).agg(F.max("value").alias("declared"))
+    fits = j.withColumn("below", below).withColumn("fit", F.get(F.filter("lines", lambda r: F.regexp_like(F.col("below"), F.concat(F.lit("^(?:"), r["pattern"], F.lit(")$")))), F.lit(0))).where(F.col("fit").isNotNull())
+    marks = fits.groupBy(key, "mark").agg(F.max_by(F.col("fit.value"), F.col("depth")).alias("value"))
+    return marks.groupBy(key).agg(*[F.max(F.when(F.col("mark") == m, F.col("value"))).alias(m) for m in ("generated", "vendored")])
 
 
-def mined_names(declared: DataFrame, least_files: int = 20, least_repos: int = 5, precision: float = 0.9) -> DataFrame:
-    """Directory names and file-name globs whose declared files (``repo, path, foreign``) are nearly always foreign, in several repositories: ``name``."""
+def counted_names(declared: DataFrame) -> DataFrame:
+    """How often files of each name pattern are declared, foreign or not: ``name, files, foreign, repos`` of ``repo, path, foreign``."""
     names = declared.select("repo", "foreign", F.explode(_patterns(F.col("path"))).alias("name"))
-    counted = names.groupBy("name").agg(F.count("*").alias("files"), F.sum(F.col("foreign").cast("int")).alias("foreign"), F.approx_count_distinct("repo").alias("repos"))
-    return counted.where((F.col("files") >= least_files) & (F.col("repos") >= least_repos) & (F.col("foreign") >= precision * F.col("files"))).select("name")
+    return names.groupBy("name").agg(F.count("*").alias("files"), F.sum(F.col("foreign").cast("int")).alias("foreign"), F.approx_count_distinct("repo").alias("repos"))
 
 
-def _directories(path: Column) -> Column:
-    parts = F.split(F.lower(normal_path(path)), "/")
-    return F.array_distinct(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))))
+def mined_names(declared: DataFrame, least_files: int = 20, least_repos: int = 5, precision: float = 0.9) -> DataFrame:
+    """Name patterns whose declared files (``repo, path, foreign``) are nearly always foreign, in several repositories: ``name``."""
+    return counted_names(declared).where((F.col("files") >= least_files) & (F.col("repos") >= least_repos) & (F.col("foreign") >= precision * F.col("files"))).select("name")
+
+
+def conventional_names(unset: DataFrame, least_files: int = 20) -> DataFrame:
+    """The conventional names, without those that attribute files (``repo, path, foreign`` of the files they speak of) mostly call the project's own."""
+    known = unset.sparkSession.createDataFrame([(n,) for n in [*FOREIGN_NAMES, *GENERATED_NAMES]], "name string")
+    against = counted_names(unset).where((F.col("files") >= least_files) & (F.col("foreign") < 0.5 * F.col("files"))).select("name")
+    return known.join(against, "name", "left_anti")
 
 
 def _patterns(path: Column) -> Column:
-    """The names of a path's directories, and ``*.x.y`` and ``*_x.y`` for the end of its file name."""
-    file = F.regexp_extract(F.lower(normal_path(path)), r"([^/]*)$", 1)
+    """The names of a path's directories, alone and with the one above, its file name, and ``*.x.y`` and ``*_x.y`` for the end of it."""
+    parts = F.split(F.lower(normal_path(path)), "/")
+    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    pairs = F.zip_with(F.slice(parts, 1, F.greatest(F.size(parts) - 2, F.lit(0))), F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda a, b: F.concat(a, F.lit("/"), b))
+    file = F.element_at(parts, -1)
     ends = F.array(*[F.concat(F.lit("*"), F.nullif(F.regexp_extract(file, end, 1), F.lit(""))) for end in (r"[^.](\.[^.]+\.[^.]+)$", r"[^_](_[^_.]+\.[^.]+)$")])
-    return F.concat(_directories(path), F.array_compact(ends))
+    return F.array_distinct(F.concat(folders, pairs, F.array(F.concat(F.lit("/"), file)), F.array_compact(ends)))
+
+
+def copies_of(files: DataFrame, foreign: DataFrame, key: str, text: str) -> DataFrame:
+    """The keys of near-duplicates of the files in ``foreign`` (``key``): ``key``, themselves included."""
+    near = NearDuplicates(files, key, text, 5, 0.8)
+    known = near.members.join(foreign.select(F.col(key).alias("key")), "key", "left_semi").select("doc").distinct()
+    links = near.links.select(F.col("doc_a").alias("doc"), F.col("doc_b").alias("other")).union(near.links.select("doc_b", "doc_a"))
+    reached = known.union(links.join(known, "doc", "left_semi").select("other")).distinct()
+    return near.members.join(reached, "doc", "left_semi").select(F.col("key").alias(key)).distinct()
 
 
 def label_files(files: DataFrame, sources: DataFrame, key: str = "file_id", repo: str = "repo", path: str = "file_path", text: str = "file_text") -> DataFrame:
-    """One row a file: ``key, repo, path``, the evidence, ``declared``, ``located``, ``by_hand`` and the first ``reason``."""
-    seen = text_evidence(files, key, repo, path, text)
-    places = with_owner(files.select(F.col(key).alias("__key"), F.col(repo).alias("repo"), F.col(path).alias("path")), sources, "repo", "path").dropDuplicates(["__key"])
+    """One row a file: ``key, repo, path``, the evidence, ``declared``, ``located``, ``copied``, ``by_hand`` and the first ``reason``."""
+    seen = cut(text_evidence(files, key, repo, path, text))
+    places = with_owner(seen.select(F.col(key).alias("__key"), "repo", "path"), sources, "repo", "path").dropDuplicates(["__key"])
     marks = declared_by_attributes(places.select("__key", "repo", "path"), attribute_rules(files, repo, path, text), "__key")
     places = places.join(marks, "__key", "left")
-    foreign = F.coalesce("declared", "owner_dep")
-    mined = mined_names(places.where(foreign.isNotNull()).select("repo", "path", foreign.alias("foreign")))
-    conventional = F.array(*map(F.lit, [*FOREIGN_NAMES, *GENERATED_NAMES]))
+    declared = F.when(F.col("generated") | F.col("vendored"), True).when(F.col("vendored").isNotNull(), F.col("vendored")).otherwise(F.coalesce(F.col("owner_dep"), F.col("generated")))
+    places = places.withColumn("foreign", declared)
+    told = places.where(F.col("foreign").isNotNull()).select("repo", "path", "foreign")
+    marked = places.where(F.col("vendored").isNotNull()).select("repo", "path", F.col("vendored").alias("foreign"))
     names = places.select("__key", F.explode(_patterns(F.col("path"))).alias("name"))
-    by_mined = names.join(mined, "name", "left_semi").select("__key").distinct().withColumn("mined", F.lit(True))
-    places = places.join(by_mined, "__key", "left").select(
-        "__key", F.coalesce("declared", F.when(F.col("owner_dep"), True)).alias("declared"),
-        (F.coalesce(F.arrays_overlap(_directories(F.col("path")), conventional), F.lit(False)) | F.coalesce("mined", F.lit(False))).alias("located"),
-    )
-    j = seen.join(places, F.col(key) == F.col("__key"), "left").drop("__key")
+    by_name = names.join(mined_names(told).union(conventional_names(marked)), "name", "left_semi").select("__key").distinct().withColumn("by_name", F.lit(True))
+    places = places.join(by_name, "__key", "left").select("__key", "generated", "vendored", F.when(F.col("foreign"), True).alias("declared"), F.coalesce("vendored", "owner_dep", F.lit(False)).alias("not_own"), F.coalesce("by_name", F.lit(False)).alias("located"))
+    j = cut(seen.join(places, F.col(key) == F.col("__key"), "left").drop("__key"))
+    may_be_made, may_be_foreign = (F.coalesce(F.col(m), F.lit(True)) for m in ("generated", "vendored"))
+    foreign = F.coalesce("not_own", F.lit(False)) | F.col("foreign_notice") & may_be_foreign
+    copies = copies_of(files, j.where(foreign).select(key), key, text).withColumn("__copied", F.lit(True)).withColumnRenamed(key, "__key")
+    j = j.join(copies, F.col(key) == F.col("__key"), "left").drop("__key").withColumn("copied", F.coalesce("__copied", F.lit(False)) & ~F.col("own_notice"))
     reason = (
-        F.when(~F.col("declared"), None).when(F.col("declared"), "declared").when(F.col("generated_notice"), "generated notice").when(F.col("foreign_notice"), "foreign notice")
-        .when(F.col("located"), "location").when(F.col("minified"), "minified").when(F.col("data"), "data").when(F.col("repeated"), "repeated shapes")
+        F.when(F.col("declared"), "declared").when(F.col("generated_notice") & may_be_made, "generated notice").when(F.col("foreign_notice") & may_be_foreign, "foreign notice")
+        .when(F.col("located") & may_be_foreign, "location").when(F.col("copied") & may_be_foreign, "copy")
+        .when(F.col("minified") & may_be_made, "minified").when(F.col("data") & may_be_made, "data").when(F.col("repeated") & may_be_made, "repeated shapes")
     )
     return j.withColumn("reason", reason).withColumn("by_hand", F.col("reason").isNull()).select(
-        key, "repo", "path", *_EVIDENCE, "declared", "located", "by_hand", "reason"
+        key, "repo", "path", *_EVIDENCE, "declared", "located", "copied", "by_hand", "reason"
     )
