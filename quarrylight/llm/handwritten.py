@@ -22,8 +22,8 @@ only: copies, locations and notices of other projects for vendored, the rest for
 generated.  One that is unspecified (``!linguist-vendored``) takes back less
 precise lines.
 
-Texts are read in one pass for the evidence (``text_evidence``) and one for the
-n-grams of 4; else only narrow rows are joined, by repository and directory or by
+Texts are read in one pass for the evidence (``text_evidence``) and two for the
+n-grams of 4, of which only possible copies go on; else only narrow rows are joined, by repository and directory or by
 name.
 
 Cases: rows with a null key are left out; null or empty texts are hand-written unless their location says
@@ -37,6 +37,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +47,8 @@ from ..functions.paths import normal_path
 from ..operators.ownership import with_owner
 from ..plans.lineage import cut
 from .docpairs import clean
-from .neardup import NearDuplicates
+from .leakage import bit_filter
+from .neardup import NearDuplicates, ngrams
 from .parsing import is_rust
 
 # Directory names by convention for code from elsewhere or made by tools.
@@ -264,9 +266,32 @@ def _patterns(path: Column) -> Column:
     return F.array_distinct(F.concat(folders, pairs, F.array(F.concat(F.lit("/"), file)), F.array_compact(ends)))
 
 
+WORDS, ALIKE = 5, 0.8
+
+
 def copies_of(files: DataFrame, foreign: DataFrame, key: str, text: str) -> DataFrame:
-    """The keys of near-duplicates of the files in ``foreign`` (``key``): ``key``, themselves included."""
-    near = NearDuplicates(files, key, text, 5, 0.8)
+    """The keys of near-duplicates of the files in ``foreign`` (``key``): ``key``, themselves included.
+
+    A file can only be one if foreign files hold that share of its n-grams; a
+    filter of bits tells, so few files are compared.
+    """
+    context = files.sparkSession.sparkContext
+    texts = files.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(key).alias("h")).where(F.col("k").isNotNull() & F.col("t").isNotNull())
+    wanted = context.broadcast(bit_filter(foreign.select(F.xxhash64(key).alias("h")).distinct()))
+
+    def grams_of_foreign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [ngrams(t, WORDS) for t in b["t"][wanted.value.has(b["h"].to_numpy(np.int64).view(np.uint64))]]
+            yield pd.DataFrame({"gram": np.unique(np.concatenate([np.zeros(0, np.int64), *found]))})
+
+    held = context.broadcast(bit_filter(cut(texts.mapInPandas(grams_of_foreign, "gram bigint").distinct())))
+
+    def may_be_copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [ngrams(t, WORDS) for t in b["t"]]
+            yield b[[len(g) > 0 and int(held.value.has(g.view(np.uint64)).sum()) >= ALIKE * len(g) - 1e-6 for g in sets]][["k", "t"]]
+
+    near = NearDuplicates(texts.mapInPandas(may_be_copies, f"k {dict(texts.dtypes)['k']}, t string"), "k", "t", WORDS, ALIKE)
     known = near.members.join(foreign.select(F.col(key).alias("key")), "key", "left_semi").select("doc").distinct()
     links = near.links.select(F.col("doc_a").alias("doc"), F.col("doc_b").alias("other")).union(near.links.select("doc_b", "doc_a"))
     reached = known.union(links.join(known, "doc", "left_semi").select("other")).distinct()
