@@ -55,6 +55,17 @@ def test_ties_follow_the_keys(spark):
     assert [r["file_key"] for r in ask(spark, [("a", "Project", near(0.5))] * 4, "a", k=3)] == ["f0", "f1", "f2"]
 
 
+def test_distinct_keys_without_a_shuffle_of_rows(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"s{i}", "Project", [float(x) for x in rng.standard_normal(3)]) for i in range(200)]
+    df = table(spark, rows).union(table(spark, rows)).union(table(spark, rows)).repartition(5)
+    got = ranking.nearest(df, (1.0, 0.0, 0.0), 7, "embedding", ["file_key"], "id").collect()
+    want = sorted(range(200), key=lambda i: (-max(0.0, rows[i][2][0] / np.linalg.norm(rows[i][2])), f"f{i}"))[:7]
+    assert [r["id"] for r in got] == want
+    plan = ranking.nearest(df, (1.0, 0.0, 0.0), 7, "embedding", ["file_key"], "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange hashpartitioning(id") < plan.index("MapInArrow") and "embedding" not in plan[: plan.index("MapInArrow")]
+
+
 def test_plan_takes_ordered(spark):
     df = ranking.search(table(spark, [("a", "Project", near(0.5))]), (1.0, 0.0, 0.0), "a", 3, ["file_key"])
     assert df._jdf.queryExecution().toString().count("TakeOrderedAndProject") >= 2
@@ -71,6 +82,9 @@ def test_many_queries_agree_with_one(spark):
         mine = sorted((r for r in many if r["q"] == q["q"]), key=lambda r: r["rank"])
         assert [r["id"] for r in mine] == [r["id"] for r in one]
         assert [r["score"] for r in mine] == pytest.approx([r["score"] for r in one])
+    for small in ({"block": 2, "part": 30}, {"block": 5}, {"block": 1, "part": 1000}):
+        again = ranking.search_many(t, queries, 4, "id", "q", "v", "t", dependency="dep", **small).collect()
+        assert sorted((r["q"], r["rank"], r["id"]) for r in again) == sorted((r["q"], r["rank"], r["id"]) for r in many)
     assert not ranking.search_many(t, queries.limit(0), 4, "id", "q", "v", "t", dependency="dep").count()
 
 
