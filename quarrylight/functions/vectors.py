@@ -1,4 +1,4 @@
-"""Vector arithmetic as Column expressions over arrays (M1-M3): all sums in double."""
+"""Vector arithmetic as Column expressions over arrays (M1-M3, A7): all sums in double."""
 
 from __future__ import annotations
 
@@ -42,3 +42,12 @@ def normalised(v: Column) -> Column:
     d = doubles(v)
     length = F.greatest(norm(d), F.lit(1e-12))
     return F.transform(d, lambda x: x / length)
+
+
+def masked_mean(tokens: Column, mask: Column, size: int) -> Column:
+    """The mean of the token vectors that the mask keeps, by their weight; a mask of zeros gives zeros, as the weight counts 1e-9 at least."""
+    weight = F.greatest(F.aggregate(mask, F.lit(0.0), lambda s, m: s + m.cast("double")), F.lit(1e-9))
+    zero = F.array_repeat(F.lit(0.0), size)
+    weighed = F.zip_with(tokens, mask, lambda v, m: F.transform(doubles(v), lambda x: x * m.cast("double")))
+    total = F.aggregate(weighed, zero, lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+    return F.transform(total, lambda x: x / weight)

@@ -90,9 +90,19 @@ def _chunk(df: DataFrame, keys: list[str], order: list[Column], **columns: Colum
     )
 
 
+def ordered(condition: Column, order: list[Column], *fields: Column) -> Column:
+    """A3: the rows of a group that fit, as structs in their order."""
+    return F.array_sort(F.collect_list(F.when(condition, F.struct(*order, *fields))))
+
+
+def hull(condition: Column, start: Column, end: Column) -> tuple[Column, Column]:
+    """M7, A4: the first start and the last end of the rows of a group that fit."""
+    return F.min(F.when(condition, start)), F.max(F.when(condition, end))
+
+
 def _pieces(condition: Column, *fields: Column) -> Column:
     """The rows that fit, in the order of the text."""
-    return F.array_sort(F.collect_list(F.when(condition, F.struct(F.col("ord"), *fields))))
+    return ordered(condition, [F.col("ord")], *fields)
 
 
 def rust_chunks(found: DataFrame, keys: list[str]) -> DataFrame:
@@ -105,7 +115,7 @@ def rust_chunks(found: DataFrame, keys: list[str]) -> DataFrame:
     t = r.where(F.col("type").isNotNull()).groupBy(*group, "type").agg(
         F.max_by(F.when(is_type, F.struct("kind", "modifier", "text", "line_start", "line_end", "doc")), F.when(is_type, F.col("ord"))).alias("d"),
         _pieces(is_impl | is_method, piece.alias("piece")).alias("pieces"),
-        F.min(F.when(is_impl, F.col("line_start"))).alias("first"), F.max(F.when(is_impl, F.col("line_end"))).alias("last"),
+        *(x.alias(n) for x, n in zip(hull(is_impl, F.col("line_start"), F.col("line_end")), ("first", "last"))),
     )
     joined = F.array_join(F.transform("pieces", lambda x: x["piece"]), "")
     impls = F.when(F.size("pieces") > 0, F.concat(F.regexp_replace(F.substr(joined, F.lit(2)), "\u0001", "\n}\n\n"), F.lit("\n}")))
@@ -159,7 +169,7 @@ def cpp_chunks(found: DataFrame, keys: list[str]) -> DataFrame:
     t = c.where(F.col("class").isNotNull()).groupBy(*group, "class").agg(
         F.max_by(F.when(is_type, F.struct("text", "line_start", "line_end", "doc", "ord")), F.when(is_type, F.col("ord"))).alias("d"), F.min("ord").alias("at"),
         _pieces(F.col("item").isin("method", "member"), F.col("line_start"), F.col("line_end"), member.alias("piece")).alias("members"), _pieces(out, F.col("bare")).alias("outs"),
-        F.min(F.when(out, F.col("line_start"))).alias("first"), F.max(F.when(out, F.col("line_end"))).alias("last"),
+        *(x.alias(n) for x, n in zip(hull(out, F.col("line_start"), F.col("line_end")), ("first", "last"))),
     )
     listed = F.array_join(F.transform(F.filter("members", lambda x: (x["ord"] > F.col("d.ord")) & (x["line_start"] >= F.col("d.line_start")) & (x["line_end"] <= F.col("d.line_end"))), lambda x: x["piece"]), "")
     definition = F.when(F.col("d").isNotNull(), F.concat(ct.signature(F.col("d.text")), F.lit(" {"), listed, F.lit("\n};"))).otherwise(F.concat(F.lit("// (forward) class "), F.col("class"), F.lit(";")))

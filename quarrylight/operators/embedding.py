@@ -18,6 +18,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 BATCH = 64  # fixed value: texts a batch
 DIMENSION = 256
@@ -64,14 +66,22 @@ def embed_one(text: str, name: str = "hash-256") -> list[float]:
     return [float(x) for x in embedder(name)([text])[0].astype(np.float32)]
 
 
+def batches(texts: DataFrame, within: list[str], order: list[str]) -> DataFrame:
+    """B1, M8: the number of the batch of ``BATCH`` that each text falls in, counted from 0 within its group, as ``batch``."""
+    place = F.row_number().over(Window.partitionBy(*within).orderBy(*order))
+    return texts.withColumn("batch", F.floor((place - 1) / BATCH))
+
+
 def with_embeddings(table: DataFrame, text: str = "embedding_text", into: str = "embedding", name: str = "hash-256") -> DataFrame:
     """The table with a vector column; texts go to the embedder in batches of ``BATCH``, across files."""
-    factory = EMBEDDERS[name]
+    factory = EMBEDDERS[name]  # goes out with the task: a worker may not have it registered
     rest = [c for c in table.columns if c != into]
     schema = ", ".join(f"`{c}` {t}" for c, t in table.select(*rest).dtypes) + f", `{into}` array<float>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        embed = _LOADED.setdefault(name, factory())
+        if name not in _LOADED:
+            _LOADED[name] = factory()
+        embed = _LOADED[name]
         for b in batches:
             texts, vectors = b[text].tolist(), []
             for at in range(0, len(texts), BATCH):

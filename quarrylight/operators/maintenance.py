@@ -64,3 +64,14 @@ def latest(states: DataFrame, keys: list[str], order: str) -> DataFrame:
     rest = [c for c in states.columns if c not in keys]
     best = states.groupBy(*keys).agg(F.max(F.struct(F.col(order), *[F.col(c) for c in rest if c != order])).alias("__s"))
     return best.select(*keys, *[F.col(f"__s.{c}").alias(c) for c in rest]).select(*states.columns)
+
+
+def merged_layers(layers: DataFrame, keys: list[str], order: str, **defaults) -> DataFrame:
+    """U5 over rows: per key each named column from the latest layer that sets it, else its default, and ``layers``."""
+    last = [F.coalesce(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order))), F.lit(value)).alias(c) for c, value in defaults.items()]
+    return layers.groupBy(*keys).agg(*last, F.count("*").alias("layers"))
+
+
+def stale(states: DataFrame, model: str, column: str = "embedding_model") -> Column:
+    """Whether rows built with another model, or with none known, have to be built again."""
+    return ~states[column].eqNullSafe(F.lit(model))

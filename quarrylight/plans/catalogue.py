@@ -11,7 +11,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import code_text as ct
 from ..functions import paths as p
@@ -21,6 +20,7 @@ from ..operators import overview as ov
 from ..operators.chunking import build
 from ..operators.ownership import with_owner
 from ..streaming.changes import latest_events
+from .lineage import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -61,7 +61,7 @@ _SCORE = """{raw} + CASE WHEN {t} IS NULL OR {s} IS NULL THEN 0.0::DOUBLE WHEN l
 
 def deliveries(spark: SparkSession, at: str) -> DataFrame:
     """chunk rows with a vector that can be searched; a chunk may come twice."""
-    return table(spark, at, "chunks").where(F.col("embedding").isNotNull() & (F.size("embedding") == SIZE) & ~F.exists("embedding", F.isnan))
+    return table(spark, at, "chunks").where(F.col("embedding").isNotNull() & (F.size("embedding") == SIZE) & ~F.array_contains("embedding", F.lit(float("nan")).cast("float")))
 
 
 def usable(spark: SparkSession, at: str) -> DataFrame:
@@ -166,6 +166,19 @@ def q_mean_pool(spark, at):
     return usable(spark, at).select("repo", "kind", F.posexplode(vectors.doubles(F.col("embedding"))).alias("pos", "x")).groupBy("repo", "kind", _big("pos", "pos")).agg(F.round(F.avg("x"), 6).alias("mean"))
 
 
+@query(
+    f"""WITH t AS (SELECT chunk_id, unnest(range(12)) AS token, embedding FROM {_USABLE}), m AS (SELECT chunk_id, list_slice(embedding, token * 8 + 1, token * 8 + 8)::DOUBLE[] AS v, (embedding[token * 8 + 1] > 0)::INT AS keep FROM t),
+  x AS (SELECT chunk_id, unnest(range(8)) AS pos, unnest(v) AS x, keep FROM m)
+  SELECT chunk_id, pos::BIGINT AS pos, round(sum(x * keep) / greatest(sum(keep), 1e-9::DOUBLE), 6) AS mean FROM x GROUP BY ALL"""
+)
+def q_masked_pool(spark, at):
+    """Each vector as twelve tokens of eight numbers, of which those that begin above zero count."""
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda t: F.slice("embedding", t * 8 + 1, F.lit(8)))
+    mask = F.transform(tokens, lambda v: (F.get(v, F.lit(0)) > 0).cast("int"))
+    pooled = usable(spark, at).select("chunk_id", vectors.masked_mean(tokens, mask, 8).alias("mean"))
+    return pooled.select("chunk_id", F.posexplode("mean").alias("pos", "mean")).select("chunk_id", _big("pos", "pos"), F.round("mean", 6).alias("mean"))
+
+
 # -- paths, discovery, ownership
 
 @query(f"""SELECT file_id, {_PATH.format('file_path')} AS path, {_EXTENSION.format(_PATH.format('file_path'))} AS extension, CASE WHEN {_EXTENSION.format(_PATH.format('file_path'))} = 'rs' THEN 'rust'
@@ -247,8 +260,9 @@ def q_line_chunks(spark, at):
 )
 def q_type_groups(spark, at):
     m = table(spark, at, "chunks").where(F.col("parent").isNotNull()).select("repo", "file_path", "parent", "chunk_id", "symbol_name", "line_start", "line_end").distinct()
-    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_start", "chunk_id", "symbol_name"))), lambda x: x["symbol_name"]), ",")
-    return m.groupBy("repo", "file_path", "parent").agg(_big(F.min("line_start"), "line_start"), _big(F.max("line_end"), "line_end"), F.count("*").alias("methods"), names.alias("names"))
+    start, end = build.hull(F.lit(True), F.col("line_start"), F.col("line_end"))
+    members = build.ordered(F.lit(True), [F.col("line_start"), F.col("chunk_id")], F.col("symbol_name"))
+    return m.groupBy("repo", "file_path", "parent").agg(_big(start, "line_start"), _big(end, "line_end"), F.count("*").alias("methods"), F.array_join(F.transform(members, lambda x: x["symbol_name"]), ",").alias("names"))
 
 
 @query(
@@ -380,23 +394,22 @@ def q_latest_state(spark, at):
 @query("SELECT repo, coalesce(arg_max(embedding_model, indexed_at), 'default') AS embedding_model, count(*) AS layers FROM git_states GROUP BY repo")
 def q_config_merge(spark, at):
     """U5 as columns: the latest layer that names a model wins."""
-    named = F.max_by(F.col("embedding_model"), F.when(F.col("embedding_model").isNotNull(), F.col("indexed_at")))
-    return table(spark, at, "git_states").groupBy("repo").agg(F.coalesce(named, F.lit("default")).alias("embedding_model"), F.count("*").alias("layers"))
+    return maintenance.merged_layers(table(spark, at, "git_states"), ["repo"], "indexed_at", embedding_model="default")
 
 
 @query("WITH m AS (SELECT repo, coalesce(arg_max(embedding_model, indexed_at), 'default') AS model FROM git_states GROUP BY repo), c AS (SELECT repo, count(DISTINCT chunk_id) AS chunks FROM chunks GROUP BY repo) SELECT c.repo, c.chunks, m.model IS DISTINCT FROM 'mica-embed-v2' AS stale FROM c LEFT JOIN m ON c.repo = m.repo")
 def q_stale_repos(spark, at):
     """Which repositories need a full rebuild because their model is another."""
     chunks = table(spark, at, "chunks").groupBy("repo").agg(F.count_distinct("chunk_id").alias("chunks"))
-    return chunks.join(q_config_merge(spark, at).select("repo", "embedding_model"), "repo", "left").select("repo", "chunks", (~F.col("embedding_model").eqNullSafe(F.lit("mica-embed-v2"))).alias("stale"))
+    j = chunks.join(q_config_merge(spark, at).select("repo", "embedding_model"), "repo", "left")
+    return j.select("repo", "chunks", maintenance.stale(j, "mica-embed-v2").alias("stale"))
 
 
 @query("WITH c AS (SELECT DISTINCT repo, chunk_id FROM chunks), n AS (SELECT repo, (row_number() OVER (PARTITION BY repo ORDER BY chunk_id) - 1) // 64 AS batch FROM c) SELECT repo, batch::BIGINT AS batch, count(*) AS texts FROM n GROUP BY ALL")
 def q_batches(spark, at):
     """B1, M8: the batches of 64 in which a repository's chunks are embedded."""
-    c = table(spark, at, "chunks").select("repo", "chunk_id").distinct()
-    place = F.row_number().over(Window.partitionBy("repo").orderBy("chunk_id"))
-    return c.select("repo", _big(F.floor((place - 1) / embedding.BATCH), "batch")).groupBy("repo", "batch").agg(F.count("*").alias("texts"))
+    c = embedding.batches(table(spark, at, "chunks").select("repo", "chunk_id").distinct(), ["repo"], ["chunk_id"])
+    return c.groupBy("repo", _big("batch", "batch")).agg(F.count("*").alias("texts"))
 
 
 @query("SELECT CASE WHEN starts_with(a, here || '/') THEN substr(a, length(here) + 2) ELSE a END AS file_key, repo, file_path FROM (SELECT DISTINCT '/srv/mirror/' || s.repo || '/' || s.file_path AS a, '/srv/mirror/' || s.repo AS here, repo, file_path FROM source_files s)")
@@ -414,15 +427,57 @@ def q_latest_events(spark, at):
     return latest_events(events).select(F.col("file_key").cast("bigint").alias("file_id"), "at", _big(F.length("text"), "characters"))
 
 
+def _chunked_files(spark, at) -> tuple[DataFrame, DataFrame]:
+    """The source files, each once, and their chunks."""
+    files = table(spark, at, "source_files").select("repo", "file_id", p.normal_path(F.col("file_path")).alias("path"), "file_text").withColumn("language", p.path_language(F.col("path")))
+    first = table(spark, at, "source_files").groupBy("file_id").agg(F.min("scanned_at").alias("scanned_at"))  # texts of later deliveries are the same
+    once = spread(table(spark, at, "source_files").select("repo", "file_id", "file_path", "file_text", "scanned_at")).join(first, ["file_id", "scanned_at"], "left_semi").select("repo", "file_id", p.normal_path(F.col("file_path")).alias("path"), "file_text")
+    once = once.withColumn("language", p.path_language(F.col("path")))
+    return files, build.chunk_files(once, ["repo", "file_id"], "path", "file_text", "language")
+
+
 @query()
 def q_chunk_files(spark, at):
-    files = table(spark, at, "source_files").withColumn("path", p.normal_path(F.col("file_path"))).dropDuplicates(["file_id"])
-    chunks = build.chunk_files(files.withColumn("language", p.path_language(F.col("path"))), ["repo", "file_id"], "path", "file_text", "language")
+    _, chunks = _chunked_files(spark, at)
     return chunks.select("repo", "file_id", "chunk_ord", "symbol_name", "kind", "chunk_type", "parent", "visibility", "line_start", "line_end", "signature", "doc_comment", F.length("display_text").alias("display_length"), F.length("embedding_text").alias("embedding_length"))
 
 
+@query(
+    rf"""WITH f AS (SELECT DISTINCT file_id, {_PATH.format('file_path')} AS path FROM source_files)
+  SELECT file_id, coalesce(nullif(regexp_extract(path, '([^/]*?)(\.[^./]*)?$', 1), ''), '_') AS symbol_name, '// ' || path AS first_line, 0::BIGINT AS chunk_ord, 0::BIGINT AS line_start, 0::BIGINT AS line_end FROM f WHERE {_EXTENSION.format('path')} <> 'rs'"""
+)
+def q_skeletons(spark, at):
+    """One skeleton a C++ file, the first of its chunks."""
+    _, chunks = _chunked_files(spark, at)
+    mine = chunks.where((F.col("language") == "cpp") & (F.col("kind") == "Module"))
+    return mine.select("file_id", "symbol_name", ct.first_line(F.col("display_text")).alias("first_line"), _big("chunk_ord", "chunk_ord"), _big("line_start", "line_start"), _big("line_end", "line_end"))
+
+
+@query("SELECT DISTINCT file_id, 0::BIGINT AS misplaced, 0::BIGINT AS short, 0::BIGINT AS outside, 0::BIGINT AS unnumbered FROM source_files")
+def q_chunk_places(spark, at):
+    """What must hold of each file's chunks: a function's text stands at its rows and has more than five, methods lie within their type's hull, numbers run from 0."""
+    files, chunks = _chunked_files(spark, at)
+    lines = F.split(F.regexp_replace("file_text", "\r\n", "\n"), "\n")
+    texts = files.select(F.col("file_id").alias("id"), lines.alias("lines")).dropDuplicates(["id"])
+    function = F.col("chunk_type") == "Function"
+    shown = F.split(F.regexp_replace("display_text", "\r\n", "\n"), "\n")
+    rows = ct.line_count(F.col("line_start"), F.col("line_end"))
+    framed = F.col("parent").isNotNull() & (F.col("language") == "rust")  # behind the header of its impl, before a closing brace
+    skip = F.when(framed, F.size(shown) - rows - 1).otherwise(F.size(shown) - rows)
+    same = F.forall(F.zip_with(F.slice(shown, skip + 1, rows), F.slice("lines", F.col("line_start") + 1, rows), lambda a, b: F.coalesce(F.endswith(F.rtrim(b), F.trim(a)) | F.startswith(F.ltrim(b), F.trim(a)) | F.contains(b, F.trim(a)), F.lit(False))), lambda x: x)
+    hulls = chunks.where((F.col("chunk_type") == "Overview") & (F.col("kind") != "Module")).select("file_id", F.col("symbol_name").alias("parent"), F.col("line_start").alias("first"), F.col("line_end").alias("last"))
+    j = chunks.join(texts, F.col("file_id") == F.col("id")).join(hulls, ["file_id", "parent"], "left")
+    counted = j.groupBy("file_id").agg(
+        F.sum((function & ~same).cast("bigint")).alias("misplaced"), F.sum((function & (rows <= build.LARGE)).cast("bigint")).alias("short"),
+        F.sum(F.coalesce((F.col("line_start") < F.col("first")) | (F.col("line_end") > F.col("last")), F.lit(False)).cast("bigint")).alias("outside"),
+        (F.max("chunk_ord") + 1 - F.count_distinct("chunk_ord")).cast("bigint").alias("unnumbered"),
+    )
+    return files.select("file_id").distinct().join(counted, "file_id", "left").fillna(0)
+
+
 @query()
 def q_hash_embed(spark, at):
-    texts = table(spark, at, "chunks").select("chunk_id", "embedding_text").dropDuplicates(["chunk_id"])
-    made = embedding.with_embeddings(texts, into="vector")
+    first = table(spark, at, "chunks").groupBy("chunk_id").agg(F.min("indexed_at").alias("indexed_at"))  # later deliveries are equal
+    texts = spread(table(spark, at, "chunks").select("chunk_id", "indexed_at", "embedding_text")).join(first, ["chunk_id", "indexed_at"], "left_semi")
+    made = embedding.with_embeddings(texts.select("chunk_id", "embedding_text"), into="vector")
     return made.select("chunk_id", F.size("vector").alias("numbers"), F.round(vectors.norm(vectors.doubles(F.col("vector"))), 4).alias("length"))

@@ -1,4 +1,4 @@
-"""Cutting lineage in the folder that all executors share."""
+"""Cutting lineage in the folder that all executors share, and using all cores for a table in few splits."""
 
 from __future__ import annotations
 
@@ -25,3 +25,9 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder and read from there: a lost executor costs no earlier stage."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """The rows of a plain scan; one with fewer splits than the session has cores is dealt out to all of them, before costly work on its texts."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
