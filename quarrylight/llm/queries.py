@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import spread
 from . import docpairs, handwritten, leakage, neardup, packing, parsing, similar, stuffing
 
 
@@ -14,6 +15,18 @@ def table(spark: SparkSession, at: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{at}/{name}.parquet")
 
 
+def files(spark: SparkSession, at: str) -> DataFrame:
+    return spread(table(spark, at, "source_files").select("file_id", "repo", "file_path", "file_text"))
+
+
+def documents(spark: SparkSession, at: str) -> DataFrame:
+    return spread(table(spark, at, "documents").select("doc_id", "text"))
+
+
+def chunk_texts(spark: SparkSession, at: str) -> DataFrame:
+    return spread(table(spark, at, "chunks").select("chunk_id", "display_text"))
+
+
 def p1_found(spark: SparkSession, at: str) -> DataFrame:
     near = similar.most_similar(table(spark, at, "chunks"), "chunk_id", "embedding", size=96, k=5, least=0.8)
     return near.select(F.least("chunk_id", "neighbour").alias("chunk_a"), F.greatest("chunk_id", "neighbour").alias("chunk_b")).distinct()
@@ -24,47 +37,47 @@ def p1_neighbours(spark: SparkSession, at: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, at: str) -> DataFrame:
-    labelled = handwritten.label_files(table(spark, at, "source_files"), table(spark, at, "sources"))
+    labelled = handwritten.label_files(files(spark, at), table(spark, at, "sources"))
     return labelled.where(~F.col("by_hand")).select("file_id").distinct()
 
 
 def p2_reasons(spark: SparkSession, at: str) -> DataFrame:
-    labelled = handwritten.label_files(table(spark, at, "source_files"), table(spark, at, "sources"))
+    labelled = handwritten.label_files(files(spark, at), table(spark, at, "sources"))
     return labelled.dropDuplicates(["file_id"]).groupBy("repo", F.coalesce("reason", F.lit("by hand")).alias("reason")).agg(F.count("*").alias("files"))
 
 
 def p3_found(spark: SparkSession, at: str) -> DataFrame:
-    return parsing.check_files(table(spark, at, "source_files")).where(~F.col("valid")).select("file_id").distinct()
+    return parsing.check_files(files(spark, at)).where(~F.col("valid")).select("file_id").distinct()
 
 
 def p3_errors(spark: SparkSession, at: str) -> DataFrame:
-    return parsing.check_files(table(spark, at, "source_files")).where(~F.col("valid")).dropDuplicates(["file_id"])
+    return parsing.check_files(files(spark, at)).where(~F.col("valid")).dropDuplicates(["file_id"])
 
 
 def p3_rates(spark: SparkSession, at: str) -> DataFrame:
-    return parsing.rates(parsing.check_files(table(spark, at, "source_files")))
+    return parsing.rates(parsing.check_files(files(spark, at)))
 
 
 def p4_found(spark: SparkSession, at: str) -> DataFrame:
-    return docpairs.pair_functions(table(spark, at, "source_files"), code=False).select("file_id", "line_no").distinct()
+    return docpairs.pair_functions(files(spark, at), code=False).select("file_id", "line_no").distinct()
 
 
 def p4_pairs(spark: SparkSession, at: str) -> DataFrame:
-    return docpairs.pair_functions(table(spark, at, "source_files")).dropDuplicates(["file_id", "line_no", "name"])
+    return docpairs.pair_functions(files(spark, at)).dropDuplicates(["file_id", "line_no", "name"])
 
 
 def p5_found(spark: SparkSession, at: str) -> DataFrame:
-    pairs = neardup.NearDuplicates(table(spark, at, "chunks"), "chunk_id", "display_text", 3, 0.7).pairs()
+    pairs = neardup.NearDuplicates(chunk_texts(spark, at), "chunk_id", "display_text", 3, 0.7).pairs()
     return pairs.select(F.col("key_a").alias("chunk_a"), F.col("key_b").alias("chunk_b"))
 
 
 def p5_groups(spark: SparkSession, at: str) -> DataFrame:
-    groups = neardup.NearDuplicates(table(spark, at, "chunks"), "chunk_id", "display_text", 3, 0.7).groups()
+    groups = neardup.NearDuplicates(chunk_texts(spark, at), "chunk_id", "display_text", 3, 0.7).groups()
     return groups.select(F.col("key").alias("chunk_id"), F.col("group").alias("group_id"), "copies", "links")
 
 
 def p6_packed(spark: SparkSession, at: str) -> DataFrame:
-    return packing.pack(packing.token_counts(table(spark, at, "documents")), table(spark, at, "token_budgets"))
+    return packing.pack(packing.token_counts(documents(spark, at)), table(spark, at, "token_budgets"))
 
 
 def p6_fill(spark: SparkSession, at: str) -> DataFrame:
@@ -75,21 +88,20 @@ def p6_fill(spark: SparkSession, at: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, at: str) -> DataFrame:
-    return leakage.leaks(table(spark, at, "documents"), table(spark, at, "eval_items")).where(F.col("longest_run") >= 12).select("doc_id", "item_id")
+    return leakage.leaks(documents(spark, at), table(spark, at, "eval_items")).where(F.col("longest_run") >= 12).select("doc_id", "item_id")
 
 
 def p7_scores(spark: SparkSession, at: str) -> DataFrame:
-    found = leakage.leaks(table(spark, at, "documents"), table(spark, at, "eval_items"))
+    found = leakage.leaks(documents(spark, at), table(spark, at, "eval_items"))
     return found.select("doc_id", "item_id", F.round("score", 6).alias("score"), "longest_run")
 
 
 def p8_found(spark: SparkSession, at: str) -> DataFrame:
-    return stuffing.score_pages(table(spark, at, "documents")).where("stuffed").select("doc_id").distinct()
+    return stuffing.score_pages(documents(spark, at)).where("stuffed").select("doc_id").distinct()
 
 
 def p8_by_source(spark: SparkSession, at: str) -> DataFrame:
-    documents = table(spark, at, "documents")
-    scored = stuffing.score_pages(documents).withColumnRenamed("doc_id", "id").join(documents.select(F.col("doc_id").alias("id"), "source"), "id")
+    scored = stuffing.score_pages(documents(spark, at)).withColumnRenamed("doc_id", "id").join(table(spark, at, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
     return scored.groupBy("source").agg(F.count("*").alias("pages"), F.sum(F.col("stuffed").cast("bigint")).alias("stuffed_pages"))
 
 
