@@ -132,7 +132,9 @@ class CodeIndex:
         ords = texts.select(F.col("file_key").alias("__k"), "source_ord")
         chunks = chunks.join(ords, F.col("file_key") == F.col("__k")).drop("__k")
         chunks = chunks.withColumns({"origin": F.lit("Project"), "crate_name": F.lit(None).cast("string"), "crate_version": F.lit(None).cast("string"), "root_deps": F.lit(None).cast("array<string>")})
-        chunks = embedding.with_embeddings(chunks, name=self.model())
+        chunks = cut(chunks)
+        made = embedding.with_embeddings(chunks.select(F.col("file_key").alias("__k"), F.col("chunk_ord").alias("__o"), "embedding_text"), name=self.model()).select("__k", "__o", "embedding")
+        chunks = chunks.join(made, (F.col("file_key") == F.col("__k")) & (F.col("chunk_ord") == F.col("__o")))  # texts alone go through Python
         columns = [c.split()[0] for c in schema.CHUNKS.split(", ")]
         files = texts.select("file_key", F.col("repo").alias("git_root"), "source_ord", "language")
         return chunks.select(*columns), files
@@ -153,8 +155,12 @@ class CodeIndex:
             return _described(self.spark, "rebuild index", self._rebuild)
         return _described(self.spark, "update index", lambda: self._update(tables))
 
-    def _save(self, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-        self.store.save(tables, self.model())
+    def _save(self, tables: dict[str, DataFrame], gone: DataFrame | None = None, fresh: DataFrame | None = None) -> dict[str, DataFrame]:
+        """Whole tables, or with ``gone`` and ``fresh`` only the chunks that changed."""
+        if gone is not None and fresh is not None:
+            self.store.patch(tables, gone, fresh, self.model())
+        else:
+            self.store.save(tables, self.model())
         loaded = self.store.load(self.model())
         assert loaded is not None
         return loaded
@@ -215,12 +221,11 @@ class CodeIndex:
         if owned is None or not owned.limit(1).count() and not affected.limit(1).count():
             if {tuple(r) for r in head.collect()} == set(before.items()):
                 return tables
-            return self._save(tables | {"git_states": head, "dirty": dirty})
+            self.store.keep_chunks(tables | {"git_states": head, "dirty": dirty}, self.model())
+            return self.store.load(self.model()) or tables
         chunks, files = self._indexed(owned)
-        drop = affected.union(files.select("file_key")).distinct()
-        return self._save({
-            "chunks": maintenance.patched(tables["chunks"], drop, chunks, ["file_key"]), "files": maintenance.patched(tables["files"], drop, files, ["file_key"]), "git_states": head, "dirty": dirty,
-        })
+        drop = cut(affected.union(files.select("file_key")).distinct())
+        return self._save({"files": maintenance.patched(tables["files"], drop, files, ["file_key"]), "git_states": head, "dirty": dirty}, drop, chunks)
 
     def _key(self, root: str):
         """A root's path as a key."""
@@ -238,7 +243,7 @@ class CodeIndex:
         owned = self._owned(home, self._scan(home, [source]), [source])
         chunks, files = self._indexed(owned)
         drop = cut(tables["files"].where(F.col("source_ord") == source[0]).select("file_key").union(files.select("file_key")).distinct())
-        saved = self._save(tables | {"chunks": maintenance.patched(tables["chunks"], drop, chunks, ["file_key"]), "files": maintenance.patched(tables["files"], drop, files, ["file_key"])})
+        saved = self._save(tables | {"files": maintenance.patched(tables["files"], drop, files, ["file_key"])}, drop, chunks)
         mine = saved["chunks"].where(F.col("source_ord") == source[0])
         return index_result(mine.select("file_key"), mine, ["file_key"])
 

@@ -193,3 +193,42 @@ def test_stream(spark, tmp_path):
     counts.processAllAvailable()
     counts.stop()
     assert sum(r["events"] for r in spark.table("counts").collect()) == 5
+
+
+def test_a_patch_leaves_other_buckets_alone(spark, tmp_path):
+    store = Store(spark, tmp_path / "s")
+    store.folder.mkdir()
+    row = lambda key, n: (key, n, "rust", 0, "f", "Function", "Function", None, "Pub", 0, 9, None, None, f"text {n}", "text", [1.0], "Project", None, None, None)
+    chunks = spark.createDataFrame([row(f"f{i}", n) for i in range(60) for n in range(2)], schema.CHUNKS)
+    files = spark.createDataFrame([(f"f{i}", "/r", 0, "rust") for i in range(60)], schema.FILES)
+    tables = store.empty() | {"chunks": chunks, "files": files}
+    store.save(tables, "m")
+    listed = lambda: {p: p.stat().st_mtime_ns for p in store.folder.glob("data-*/bucket=*/*.parquet")}
+    before, buckets = listed(), store._buckets(store.current())["folders"]
+    gone = spark.createDataFrame([("f7",)], "file_key string")
+    store.patch(tables, gone, spark.createDataFrame([row("f7", 5)], schema.CHUNKS), "m")
+    after = store._buckets(store.current())["folders"]
+    assert sum(buckets[b] != after[b] for b in buckets) == 1 and set(buckets) == set(after)
+    assert all(listed()[p] == t for p, t in before.items())
+    loaded = store.load("m")["chunks"]
+    assert loaded.count() == 119 and [r["chunk_ord"] for r in loaded.where("file_key = 'f7'").collect()] == [5]
+    store.patch(tables, gone, spark.createDataFrame([], schema.CHUNKS), "m")
+    assert store.load("m")["chunks"].count() == 118
+    store.keep_chunks(tables, "m")
+    assert store.load("m")["chunks"].count() == 118
+
+
+def test_buckets_follow_the_table(spark, tmp_path, monkeypatch):
+    from quarrylight.plans import store as module
+
+    monkeypatch.setattr(module, "FILES_A_BUCKET", 1)
+    monkeypatch.setattr(module, "LEAST_BUCKETS", 2)
+    store = Store(spark, tmp_path / "s")
+    store.folder.mkdir()
+    store.save(store.empty(), "m")
+    assert store._buckets(store.current())["buckets"] == 2
+    files = spark.createDataFrame([(f"f{i}", "/r", 0, "rust") for i in range(20)], schema.FILES)
+    gone = files.select("file_key")
+    fresh = spark.createDataFrame([(f"f{i}", 0, "rust", 0, "f", "Function", "Function", None, "Pub", 0, 9, None, None, "t", "t", [1.0], "Project", None, None, None) for i in range(20)], schema.CHUNKS)
+    store.patch(store.empty() | {"files": files}, gone, fresh, "m")
+    assert store._buckets(store.current())["buckets"] == 32 and store.load("m")["chunks"].count() == 20
