@@ -1,6 +1,6 @@
 """Parser for C++ after preprocessing: declarations and statements by recursive descent, expressions by precedence climbing.
 
-Directives are white space to it.  Where the language needs names to tell a
+Directives are white space to it; ``parsing`` gives it one branch of conditionals at a time where both at once don't parse.  Where the language needs names to tell a
 declaration from an expression or a template from a comparison, it tries the
 first and takes the second if that fails.  Macros that stand for pieces of
 declarations are not known and count as errors.
@@ -40,19 +40,25 @@ class CppParser(Parser):
 
     def attempt(self, what, *args):
         """The result of a method, or None if it meets an error."""
-        errors, functions, angle = len(self.errors), len(self.functions), self.angle
+        errors, node, children, angle = len(self.errors), self.node, len(self.node.children), self.angle
         try:
             got = what(*args)
             if len(self.errors) == errors:
                 return got
         except Wrong:
             pass
-        self.angle = angle
-        del self.errors[errors:], self.functions[functions:]
+        self.angle, self.node = angle, node
+        del self.errors[errors:], node.children[children:]
         return None
 
     # -- statements
 
+    def after_body(self, at: int) -> int:
+        """Behind the handlers of a function whose body is tried."""
+        while self.k[at] == CATCH and self.k[at + 1] == "(":
+            at = self.block("block", self.need(self.balanced(at + 1), "{", "a handler's body"))
+        return at
+
     def statement(self, context: str, at: int) -> tuple[str, object, int]:
         k, start = self.k, at
         while k[at] == "[" and k[at + 1] == "[":
@@ -112,7 +118,7 @@ class CppParser(Parser):
     def cause(self, context: str, start: int, at: int) -> Wrong:
         """Why neither a declaration nor an expression is there: the error that lies further on."""
         found = []
-        errors, functions = len(self.errors), len(self.functions)
+        errors, node, children = len(self.errors), self.node, len(self.node.children)
         for what, args in ((self.declaration, (context, start, at)), (self.expr, (at,))):
             self.angle = False
             try:
@@ -121,7 +127,8 @@ class CppParser(Parser):
             except Wrong as e:
                 found.append(e)
             found += [Wrong(*e) for e in self.errors[errors:]]
-            del self.errors[errors:], self.functions[functions:]
+            self.node = node
+            del self.errors[errors:], node.children[children:]
         self.angle = False
         return max(found, key=lambda e: e.at)
 
@@ -479,7 +486,7 @@ class CppParser(Parser):
                 elif k[at + 1] == "]":
                     at += 2
                 else:
-                    at = self.need(self.unangled(self.expr, at + 1), "]", "a bracket")
+                    at = self.need(self.free_expr(at + 1), "]", "a bracket")
             else:
                 return at, name, called
 
@@ -594,6 +601,13 @@ class CppParser(Parser):
         finally:
             self.angle = before
 
+    def free_expr(self, at: int) -> int:
+        """An expression within brackets, where ``>`` compares."""
+        before, self.angle = self.angle, False
+        at = self.expr(at)
+        self.angle = before
+        return at
+
     def unangled(self, what, *args) -> int:
         if not self.angle:
             return what(*args)
@@ -677,7 +691,7 @@ class CppParser(Parser):
         at = self.binary(self.unary(at), 1)
         c = k[at]
         if c == "?":
-            at = self.need(self.unangled(self.expr, at + 1), ":", "a colon")
+            at = self.need(self.free_expr(at + 1), ":", "a colon")
             return self.assign(at)
         if c in ASSIGN or c == ">" and k[at + 1] == C[">="] and not self.angle:
             at += 1 + (c == ">")
@@ -740,7 +754,7 @@ class CppParser(Parser):
             else:
                 at = self.pointers(self.type_specifiers(at))
             while k[at] == "[":
-                at = at + 2 if k[at + 1] == "]" else self.need(self.unangled(self.expr, at + 1), "]", "a bracket")
+                at = at + 2 if k[at + 1] == "]" else self.need(self.free_expr(at + 1), "]", "a bracket")
             if k[at] == "(":
                 at = self.arguments(at + 1, ")")
             elif k[at] == "{":
@@ -830,10 +844,10 @@ class CppParser(Parser):
             return at
         if c == "(":
             if k[at + 1] == DOTS and k[at + 2] in BINARY:
-                return self.need(self.unangled(self.expr, at + 3), ")", "a parenthesis")
+                return self.need(self.free_expr(at + 3), ")", "a parenthesis")
             if k[at + 1] == "{":
                 return self.need(self.block("block", at + 2), ")", "a parenthesis")
-            at = self.unangled(self.expr, at + 1)
+            at = self.free_expr(at + 1)
             if k[at] in BINARY and k[at + 1] == DOTS:
                 at += 2
                 if k[at] in BINARY:
@@ -850,7 +864,7 @@ class CppParser(Parser):
         if c in CASTS:
             at = self.angled(self.type_id, self.need(at + 1, "<", "an angle bracket"))
             at = self.need(self.need(at, ">", "an angle bracket"), "(", "a parenthesis")
-            return self.need(self.unangled(self.expr, at), ")", "a parenthesis")
+            return self.need(self.free_expr(at), ")", "a parenthesis")
         if c == TYPENAME:
             at = self.named(at + 1, True)
             if k[at] == "(":
@@ -860,7 +874,7 @@ class CppParser(Parser):
             at = self.need(at + 1, "(", "a parenthesis")
             end = self.attempt(self.unangled, self.type_id, at)
             if end is None or k[end] != ")":
-                end = self.unangled(self.expr, at)
+                end = self.free_expr(at)
             return self.need(end, ")", "a parenthesis")
         if c == DECLTYPE:
             at = self.balanced(self.need(at + 1, "(", "a parenthesis") - 1)

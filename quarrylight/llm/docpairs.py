@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexing import RUST, Tokens
-from .grammar import Function, Parser
+from .grammar import Parser
 from .parsing import is_rust, parse
 
 LEAST_WORDS = 4
@@ -82,12 +82,12 @@ def _rust_docs(parts: list[str], at: int, codes: list[str], first: int) -> list[
 
 def functions_of(tokens: Tokens, parser: Parser) -> Iterator[dict]:
     """Every function with a body and a description: its name, rows, signature and the description."""
-    if not parser.functions:
+    functions = parser.functions
+    if not functions:
         return
     parts, codes, k = tokens.parts, tokens.codes, tokens.kinds
     rows, places = tokens.rows(), tokens.places()
-    for f in sorted(set(parser.functions)):
-        start, name, body = f
+    for start, name, body in sorted({(f.start, f.name, f.body) for f in functions}):  # the function nodes of the tree
         begin, here = places[start], places[name]
         docs: list[str] = []
         if tokens.rust:
@@ -159,9 +159,10 @@ def pair_functions(files: DataFrame, key: str = "file_id", path: str = "file_pat
                 tokens, parser = parse(body or "", is_rust(name))
                 if parser.errors:
                     continue
-                language = "rust" if tokens.rust else "cpp"
-                for f in functions_of(tokens, parser):
-                    if not trivial(f["doc"], f["names"]):
+                language, seen = "rust" if tokens.rust else "cpp", set()
+                for tokens, f in ((t, f) for t, p in [(tokens, parser), *parser.others] for f in functions_of(t, p)):
+                    if not trivial(f["doc"], f["names"]) and f["begin"] not in seen:
+                        seen.add(f["begin"])
                         row = [k, f["line_no"], language, f["name"], f["signature"], f["doc"]]
                         if code:
                             last = tokens.places()[_end(tokens, f["body"])]

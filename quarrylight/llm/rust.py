@@ -72,7 +72,7 @@ class RustParser(Parser):
         if c == FN:
             name, at = at + 1, self.need(at + 1, "i", "a function's name")
             at = self.signature(self.generics(at), context)
-            if k[at] == ";" and context in ("members", "extern"):
+            if k[at] == ";" and (context in ("members", "extern") or EXTERN in k[start:name]):
                 return WHOLE, None, at + 1
             return FUNCTION, name - start, self.need(at, "{", "a function's body")
         if c == STRUCT or c == "i" and k[at + 1] == "i" and k[at + 2] in "{<" and context != "block":

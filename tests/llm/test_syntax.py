@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrylight.llm import docpairs, parsing
+from quarrylight.llm.parsing import errors_with_rows, parse
 
 RUST_VALID = [
     "", "// only\n/* a /* b */ c */\n", "#![allow(dead_code)]\nuse a::{self, b::*, c as d};\nmod x;\npub mod y { fn f() {} }\nextern crate z;",
@@ -70,7 +71,8 @@ def test_remembered_shapes_change_nothing():
 
 def test_deep_and_long_texts():
     assert parsing.parse("fn f() { " + "(" * 300 + "1" + ")" * 300 + " }", True)[1].errors == []
-    assert parsing.parse("fn f() { " + "(" * 60000 + "1" + ")" * 60000 + " }", True)[1].errors
+    assert parsing.parse("fn f() { " + "(" * 60000 + "1" + ")" * 60000 + " }", True)[1].errors == []  # depth is no error
+    assert parsing.parse("fn f() { " + "(" * 60000 + "1" + ")" * 59999 + " }", True)[1].errors
     assert parsing.parse("fn f() { " + "x.y(1); " * 50000 + "}", True)[1].errors == []
     assert parsing.parse("int a[] = {" + "-1.5, " * 50000 + "};", False)[1].errors == []
 
@@ -180,3 +182,34 @@ def test_placeholders_fill_their_sentence(doc, expected):
 def test_both_found_over_given_columns(spark):
     df = spark.createDataFrame([(1, "r", "a.rs", DOCS_RUST)], "file_id long, repo string, file_path string, file_text string").withColumn("k", F.lit(1)).withColumn("p", F.lit(2)).withColumn("t", F.lit(3))
     assert docpairs.pair_functions(df).count() == 5 and parsing.check_files(df).count() == 1
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "#ifdef A\nvoid f(int x) {\n#else\nvoid f(long x) {\n#endif\n  g(x);\n}\n", "void f() try { g(); } catch (...) { h(); }\nint x;", "struct A { A() try : b(1) {} catch (int e) {} int b; };",
+        "module;\n#include <a>\nexport module foo;\nimport bar;\nexport int f(int a) { return a; }\n", "class EXPORT_API Foo { int a; };", "static inline int __attribute__((unused)) f(void) { return 1; }", "int f() {\n#if A\n return 1 +\n#elif B\n return 2 +\n#else\n return 3 -\n#endif\n 4;\n}",
+        "int x = " + "(" * 30_000 + "1" + ")" * 30_000 + ";", "void f() " + "{" * 30_000 + "}" * 30_000,
+    ],
+)
+def test_valid_cpp_that_is_not_plain(text):
+    assert not errors_with_rows(*parse(text, False))
+
+
+@pytest.mark.parametrize("text", ["int f() {\n#if A\n return 1;\n#else\n return 3 +;\n#endif\n}", "#if A\nint f( {\n#else\nint g();\n#endif\n", "catch (...) {}"])
+def test_branches_with_errors(text):
+    assert errors_with_rows(*parse(text, False))
+
+
+def test_foreign_functions_without_bodies():
+    assert not errors_with_rows(*parse('extern "C" fn f();\nfn g() {}', True)) and errors_with_rows(*parse("fn f();", True))
+
+
+def test_tree_and_functions_of_every_branch():
+    tokens, parser = parse("namespace a {\nstruct B {\n  int f() { if (x) { y(); } return 1; }\n};\n}\nint g() { return 2; }\n", False)
+    nodes = list(parser.tree.visit("function"))
+    assert [tokens.parts[tokens.places()[n.name]].strip() for n in nodes] == ["f", "g"] and all(n.start < n.body < n.end for n in nodes)
+    assert nodes[0].children and nodes[0] not in parser.tree.children and nodes[1] in parser.tree.children
+    text = "#if A\n// Adds one to the whole total.\nint f(int x) {\n#else\n// Takes one from the whole total.\nint g(long x) {\n#endif\n  return x;\n}\n"
+    tokens, parser = parse(text, False)
+    assert {f["name"] for t, p in [(tokens, parser), *parser.others] for f in docpairs.functions_of(t, p)} == {"f", "g"}
