@@ -55,7 +55,7 @@ class Node:
             node = open_.pop()
             if node.kind == kind:
                 yield node
-            open_ += reversed(node.children)
+            open_ += [c for c in reversed(node.children) if c.children or c.kind == kind]
 
 
 # What a statement turned out to be: whole, a function's head, the head of a plain body, or a named production.

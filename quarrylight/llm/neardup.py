@@ -173,4 +173,5 @@ class NearDuplicates:
         named = sets.join(joined, "doc", "left").join(degree, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         least = named.groupBy("component").agg(F.min("least").alias("group"))
         named = named.join(least, "component").select("doc", "group", "copies", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
-        return m.join(named, "doc").select("key", "group", "copies", "links").dropDuplicates(["key"])
+        least = F.min(F.struct("group", F.struct("copies", "links").alias("rest"))).alias("x")  # a key with several texts is in the least of its groups
+        return m.join(named, "doc").groupBy("key").agg(least, F.sum("links").alias("links")).select("key", "x.group", "x.rest.copies", "links")
