@@ -266,7 +266,8 @@ def _patterns(path: Column) -> Column:
     return F.array_distinct(F.concat(folders, pairs, F.array(F.concat(F.lit("/"), file)), F.array_compact(ends)))
 
 
-WORDS, ALIKE = 5, 0.8
+# Words of an n-gram, the similarity of copies, and the n-grams below which a file says too little to be told as one.
+WORDS, ALIKE, LEAST_GRAMS = 5, 0.8, 20
 
 
 def copies_of(files: DataFrame, foreign: DataFrame, key: str, text: str) -> DataFrame:
@@ -289,7 +290,7 @@ def copies_of(files: DataFrame, foreign: DataFrame, key: str, text: str) -> Data
     def may_be_copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [ngrams(t, WORDS) for t in b["t"]]
-            yield b[[len(g) > 0 and int(held.value.has(g.view(np.uint64)).sum()) >= ALIKE * len(g) - 1e-6 for g in sets]][["k", "t"]]
+            yield b[[len(g) >= LEAST_GRAMS and int(held.value.has(g.view(np.uint64)).sum()) >= ALIKE * len(g) - 1e-6 for g in sets]][["k", "t"]]
 
     near = NearDuplicates(texts.mapInPandas(may_be_copies, f"k {dict(texts.dtypes)['k']}, t string"), "k", "t", WORDS, ALIKE)
     known = near.members.join(foreign.select(F.col(key).alias("key")), "key", "left_semi").select("doc").distinct()
